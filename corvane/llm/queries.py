@@ -8,10 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import byte_bpe, token_files
+from corvane.llm import byte_bpe, language_id, secret_scan, token_files
 from corvane.llm.common import Scratch, documents
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op3")
+    found = secret_scan.scan(documents(spark, sf_dir), scratch)
+    base = secret_scan.joined(secret_scan.base(F.col("spans")))
+    return found.select(
+        "doc_id",
+        *[secret_scan.count(F.col("spans"), i).alias(f"n_{secret_scan.KINDS[i][0]}") for i in range(secret_scan.BASE)],
+        F.sha2(base, 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+        F.size("live").cast("long").alias("n_live"),
+        F.size("copied").cast("long").alias("n_copied"),
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = byte_bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
@@ -24,6 +44,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op3_secret_scan": op3_secret_scan,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_token_files": op7_token_files,
 }
