@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import byte_bpe, language_id, secret_scan, token_files
+from corvane.llm import byte_bpe, language_id, ngram_join, secret_scan, token_files
 from corvane.llm.common import Scratch, documents
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir), Scratch(spark, "op1"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
@@ -44,6 +48,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op5_byte_bpe": op5_byte_bpe,
