@@ -31,13 +31,12 @@ from corvane.llm.common import parts_for
 
 #: A cut before a space is a pre-token boundary unless white space stands on both sides of it.
 _UNSURE = re.compile(r"\s (?:\s|\Z)")
+#: A piece that can be encoded in one string with others, a line break between each two.
+_PLAIN = re.compile(r" ?\S+")
 #: Distinct pieces whose ids a worker remembers; then it starts anew.
-REMEMBERED = 300_000
-
-
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
+REMEMBERED = 800_000
+#: Texts that are split at once, to bound the number of pieces in memory.
+AT_ONCE = 400
 
 
 class PieceEncoder:
@@ -45,25 +44,65 @@ class PieceEncoder:
 
     The tokenizer never merges over the boundary before a space that has a character other than
     white space beside it, so a text's ids are those of its pieces, joined; texts with other spaces
-    are encoded whole.
+    are encoded whole. A full stop or comma behind a letter is a piece of its own.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = tokenizer(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.first: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # by what follows the space
+        (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids or [None]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; plain pieces go in few long strings."""
+        if self.line_break is None or not all(map(_PLAIN.fullmatch, pieces)):
+            plain = [p for p in pieces if _PLAIN.fullmatch(p)] if self.line_break is not None else []
+            known = dict(zip(plain, self._pieces(plain), strict=True)) if plain else {}
+            rest = [p for p in pieces if p not in known]
+            known.update(zip(rest, self.whole(rest), strict=True))
+            return [known[p] for p in pieces]
+        out = []
+        for at in range(0, len(pieces), 2000):
+            some = pieces[at : at + 2000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.line_break)
+            if len(ends) != len(some) - 1:  # a piece has the id of a line break in it
+                out += self.whole(some)
+                continue
+            data, edges = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
+            out += [data[i:j] for i, j in zip(edges, [*(4 * ends).tolist(), len(data)], strict=True)]
+        return out
+
+    def _learn(self, known: dict[str, bytes], missing: set[str], prefix: str) -> None:
+        cores = {p[:-1] for p in missing if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()}
+        plain = [p for p in missing if not (len(p) > 1 and p[-1] in ".," and p[-2].isalpha())]
+        new = list({*plain, *(p for p in cores if p not in known)})
+        known.update(zip(new, self._pieces([prefix + p for p in new]), strict=True))
+        marks = dict(zip(".,", self.whole([".", ","]), strict=True))
+        known.update((p, known[p[:-1]] + marks[p[-1]]) for p in missing if p not in known)
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        split = [None if _UNSURE.search(x) else x.split(" ") for x in texts]
+        if len(self.spaced) + len(self.first) > REMEMBERED:
+            self.first, self.spaced = {}, {}
+        self._learn(self.first, {x[0] for x in split if x and x[0] not in self.first}, "")
+        found = [None if x is None else list(map(self.spaced.get, x[1:])) for x in split]
+        missing = {p for x, ids in zip(split, found, strict=True) if ids and None in ids for p, i in zip(x[1:], ids, strict=True) if i is None}
+        self._learn(self.spaced, missing, " ")
+        return [self.whole([text])[0] if x is None else self.first[x[0]] + b"".join(map(self.spaced.__getitem__, x[1:]) if None in ids else ids) for text, x, ids in zip(texts, split, found, strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
-        split = [[] if _UNSURE.search(x) else x.replace(" ", "\0 ").split("\0") if "\0" not in x else [] for x in texts]
-        new = list({p for pieces in split for p in pieces if p not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({p for pieces in split for p in pieces})
-        for i in range(0, len(new), 10_000):
-            self.known.update(zip(new[i : i + 10_000], self._ids(new[i : i + 10_000]), strict=True))
-        return [b"".join(map(self.known.__getitem__, pieces)) if pieces else self._ids([x])[0] for x, pieces in zip(texts, split, strict=True)]
+        return [x for at in range(0, len(texts), AT_ONCE) for x in self._joined(texts[at : at + AT_ONCE])]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> PieceEncoder:
+    """One for each worker process, which serves task after task."""
+    return PieceEncoder(path)
 
 
 def write(docs: DataFrame, out: str, path: str, end_id: int, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), partitions: int | None = None, row_group_bytes: int = 32 << 20, page_bytes: int = 64 << 10) -> None:
@@ -76,7 +115,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int, key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, at, part = PieceEncoder(path), 0, TaskContext.get().partitionId()
+        encode, at, part = encoder(path), 0, TaskContext.get().partitionId()
         tail = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             ids = [x + tail for x in encode(batch.column("text").to_pylist())]
