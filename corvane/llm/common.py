@@ -68,6 +68,12 @@ def parts_for(spark: SparkSession, df: DataFrame, bytes_each: int = 16 << 20) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 100_000))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for a row, whatever the optimizer moves where:
+    an expression that stands in a lambda function is else computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

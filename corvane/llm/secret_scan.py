@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch
+from corvane.llm.common import Scratch, once
 
 #: Kind, pattern, the group with the value, least characters of the value, a string
 #: without which there is no match. The first three are the base kinds.
@@ -33,11 +33,6 @@ KINDS = (
 BASE = 3
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once for a row."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _spans(text: Column, number: int) -> Column:
     """array<struct<start, kind_no, end, kind, value>> of one kind, in order."""
     kind, pattern, group, least, needs = KINDS[number]
@@ -58,7 +53,7 @@ def _spans(text: Column, number: int) -> Column:
 
         return F.when(F.size(found) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
 
-    spans = _bound(F.regexp_extract_all(text, rx, F.lit(0)), placed)
+    spans = once(F.regexp_extract_all(text, rx, F.lit(0)), placed)
     return F.when(F.contains(text, F.lit(needs)), spans).otherwise(none) if needs else spans
 
 

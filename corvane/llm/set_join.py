@@ -28,6 +28,10 @@ from corvane.llm.components import components
 from corvane.llm.signature_tree import Forest, Tree, bitmap, folded, width
 
 
+#: Tables of pairs or names up to so many rows are broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """Exactly: whether two ascending arrays without repeats reach the Jaccard similarity num / den."""
     if min(len(x), len(y)) * den < max(len(x), len(y)) * num:
@@ -42,21 +46,28 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
 
-def _star(members: DataFrame, sets: DataFrame, seed: int, num: int, den: int) -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast if it has few rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _star(members: DataFrame, sets: DataFrame, scratch: Scratch, seed: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between sets and one centre each."""
     order = F.struct(F.xxhash64(F.lit(seed), "sid"), F.col("sid"), F.col("label"))
     centres = members.groupBy("key").agg(F.min(order).alias("centre"))
     chosen = members.join(centres, "key").where(F.col("label") != F.col("centre.label")).groupBy("sid").agg(F.min("centre").alias("centre"))
-    pairs = chosen.select("sid", F.col("centre.sid").alias("centre"))
-    left = sets.select(F.col("sid"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("sid").alias("centre"), F.col("hashes").alias("y"))
+    pairs = scratch.table(chosen.select("sid", F.col("centre.sid").alias("centre")), f"pairs_{seed}")
+    # only the sets that take part are shuffled: those of the centres, and beside them each set once
+    centre_sets = sets.join(_few(pairs.select(F.col("centre").alias("sid")).distinct()), "sid", "left_semi")
+    left = sets.select(F.col("sid"), F.col("hashes").alias("x")).join(_few(pairs), "sid")
+    right = centre_sets.select(F.col("sid").alias("centre"), F.col("hashes").alias("y"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [similar(x, y, num, den) for x, y in zip(_arrays(batch.column("x")), _arrays(batch.column("y")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("centre")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "sid").join(right, "centre").select("sid", "centre", "x", "y").mapInArrow(verify, "a long, b long")
+    return left.join(right, "centre").select("sid", "centre", "x", "y").mapInArrow(verify, "a long, b long")
 
 
 def _labelled(members: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -94,7 +105,7 @@ def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
     links = None
     open_members = members.select("key", "sid", F.col("sid").alias("label"))
     for i in range(stars):
-        found = scratch.table(_star(open_members, sets, i, num, den), f"star_{i}")
+        found = scratch.table(_star(open_members, sets, scratch, i, num, den), f"star_{i}")
         links = found if links is None else links.union(found)
         open_members = scratch.table(_labelled(open_members, links, scratch, f"after_star_{i}"), f"open_{i}")
         if not open_members.limit(1).count():
@@ -139,10 +150,11 @@ def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
         ends = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    maps = sets.join(open_members.select("sid").distinct(), "sid", "left_semi").select("sid", "n", "hashes").mapInArrow(to_bitmap, "sid long, size long, map binary")
+    maps = sets.join(_few(open_members.select("sid").distinct()), "sid", "left_semi").select("sid", "n", "hashes").mapInArrow(to_bitmap, "sid long, size long, map binary")
     cells = _cells(_once(open_members), cell_members).drop("n").join(maps, "sid")
     left = scratch.table(cells.groupBy("key", "i", "j").applyInArrow(survivors, "key long, i int, j int, part long, sid long, label long"), "survivors")
     parts = left.select(F.xxhash64("key", "i", "j", "part").alias("key"), "sid", "label")
-    cells = _cells(_once(parts), exact_members).drop("n").join(sets.select("sid", "hashes"), "sid")
+    some = sets.select("sid", "hashes").join(_few(parts.select("sid").distinct()), "sid", "left_semi")
+    cells = _cells(_once(parts), exact_members).drop("n").join(some, "sid")
     last = cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
     return links.union(scratch.table(last, "exact"))
