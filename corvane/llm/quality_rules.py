@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from corvane.llm.common import Scratch, once, words
 
 #: Feature and the least standard deviation that it is given.
-FEATURES = (("word_length", 0.2), ("symbols", 0.12), ("dup_lines", 0.22), ("repeats", 0.2))
-#: The median of the chi-squared distribution with four degrees of freedom, and a quantile of it
-#: that one normal document in 100,000 exceeds (fixed values).
-CHI2_MEDIAN, CHI2_FAR = 3.3567, 28.4733
+FEATURES = (("word_length", 0.2), ("symbols", 0.06), ("dup_lines", 0.15), ("repeats", 0.2))
+#: The median of the chi-squared distribution with four degrees of freedom, and its 99.9 % quantile
+#: (fixed values).
+CHI2_MEDIAN, CHI2_FAR = 3.3567, 18.4668
 
 
 def repeated_words(tokens: Column, window: int = 5) -> Column:

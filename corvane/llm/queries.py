@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import byte_bpe, decontamination, language_id, ngram_join, quality_rules, secret_scan, token_files
+from corvane.llm import byte_bpe, decontamination, language_id, ngram_join, quality_rules, secret_scan, substring_order, token_files
 from corvane.llm.common import Scratch, documents
 
 
@@ -58,6 +58,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("item").alias("item_id"), "n_shared", "n_shingles")
 
 
+def op10_substring_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = substring_order.strip(documents(spark, sf_dir), Scratch(spark, "op10"))
+    return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
+    "op10_substring_order": op10_substring_order,
 }
 
 ORACLE: dict[str, str] = {}

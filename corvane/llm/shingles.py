@@ -47,6 +47,12 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n or more powers of the base of the polynomial hash, and their inverses."""
+    _POWERS.upto(n)
+    return _POWERS.up, _POWERS.down
+
+
 def _piece_words(raw: np.ndarray) -> np.ndarray:
     gap = _GAP[raw]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
