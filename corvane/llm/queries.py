@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import byte_bpe, decontamination, language_id, ngram_join, quality_rules, secret_scan, substring_order, token_files
+from corvane.llm import byte_bpe, decontamination, language_id, ngram_join, paragraph_dedup, pii, quality_rules, secret_scan, substring_order, token_files
 from corvane.llm.common import Scratch, documents
 
 
@@ -46,6 +46,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paragraph_dedup.classes(documents(spark, sf_dir), Scratch(spark, "op6"))
+    return found.withColumnRenamed("class_key", "class_doc_id")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Scratch(spark, "op7").path("tokens", stay=True)
     token_files.write(documents(spark, sf_dir), out, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -58,6 +63,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("item").alias("item_id"), "n_shared", "n_shingles")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(documents(spark, sf_dir))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.BASE], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op10_substring_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = substring_order.strip(documents(spark, sf_dir), Scratch(spark, "op10"))
     return stripped.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -69,8 +79,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_paragraph_dedup": op6_paragraph_dedup,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
+    "op9_pii": op9_pii,
     "op10_substring_order": op10_substring_order,
 }
 

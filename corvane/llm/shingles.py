@@ -53,20 +53,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS.up, _POWERS.down
 
 
-def _piece_words(raw: np.ndarray) -> np.ndarray:
+def _piece_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gap = _GAP[raw]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     _POWERS.upto(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((_LOWER[raw] + np.uint64(1)) * _POWERS.up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _POWERS.down[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * _POWERS.down[starts] + (ends - starts).astype(np.uint64)), starts
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """The hashes of the words, in order."""
-    data = text.encode("utf-8", "surrogatepass")
-    raw = np.frombuffer(data, np.uint8)
+def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes and their first bytes, in order, of a text's UTF-8 bytes."""
     if len(raw) <= PIECE:
         return _piece_words(raw)
     out, at = [], 0
@@ -77,9 +75,15 @@ def word_hashes(text: str) -> np.ndarray:
             end += PIECE
             gaps = np.flatnonzero(_GAP[raw[end : end + PIECE]])
         end = min(len(raw), end + int(gaps[0])) if len(gaps) else len(raw)
-        out.append(_piece_words(raw[at:end]))
+        hashes, starts = _piece_words(raw[at:end])
+        out.append((hashes, starts + at))
         at = end
-    return np.concatenate(out)
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """The hashes of the words, in order."""
+    return words_of(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))[0]
 
 
 def rolled(words: np.ndarray, size: int) -> np.ndarray:
