@@ -68,6 +68,15 @@ def parts_for(spark: SparkSession, df: DataFrame, bytes_each: int = 16 << 20) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 100_000))
 
 
+#: Tables of names up to so many rows are broadcast; larger ones are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """For a narrow table: broadcast if a count shows few rows, else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def once(value: Column, use) -> Column:
     """``use(value)`` with the value computed once for a row, whatever the optimizer moves where:
     an expression that stands in a lambda function is else computed for each element."""

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, ascii_lower, once, words
+from corvane.llm.common import Scratch, ascii_lower, few, once, words
 
 
 def shingles(tokens: Column, size: int) -> Column:
@@ -57,7 +57,7 @@ def contained(docs: DataFrame, items: DataFrame, scratch: Scratch, key: str = "d
     sketches = signed.select("item_no", "least", "needed", F.explode("bottom").alias("hash"))
     ceiling = signed.agg(F.max(F.element_at("bottom", -1)).alias("top"), F.sum(F.size("bottom")).alias("n"), F.sum("q").alias("all")).first()
     if ceiling["n"] is None:
-        return docs.limit(0).select(F.col(key).alias(key), F.lit(0).alias("item"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_shingles"))
+        return docs.limit(0).select(F.col(key).alias(key), F.lit(None).cast(items.schema[item_key].dataType).alias("item"), F.lit(0).cast("long").alias("n_shared"), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("text_hash"))
     small = ceiling["all"] <= broadcast_rows
     sized = lambda df: F.broadcast(df) if small else df
 
@@ -84,5 +84,6 @@ def contained(docs: DataFrame, items: DataFrame, scratch: Scratch, key: str = "d
 def clean(docs: DataFrame, items: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that contain no item."""
     found = scratch.table(contained(docs, items, scratch, key, text, **options).select(F.col(key).alias("bad_key"), F.col("text_hash").alias("bad_text")).distinct(), "contaminated", stay=True)
+    scratch.drop()
     rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return rows.join(found, F.col(key).eqNullSafe(F.col("bad_key")) & (F.col("_text_hash") == F.col("bad_text")), "left_anti").drop("_text_hash")
+    return rows.join(few(found), F.col(key).eqNullSafe(F.col("bad_key")) & (F.col("_text_hash") == F.col("bad_text")), "left_anti").drop("_text_hash")

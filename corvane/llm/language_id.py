@@ -171,3 +171,20 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([some.column("key"), pa.array(np.where(lettered, names[best], "und"), pa.string()), pa.array(np.where(lettered, score, 0.0))], ["key", "lang_pred", "score"])
 
     return source.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+
+
+def identified(docs: DataFrame, model: Model, text: str = "text", least_score: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a language with at least that score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    position = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                _, score = decide(known, *hits(known, some.column(position)))
+                yield some.filter(pa.array(score >= least_score))
+
+    lettered = docs.where(F.col(text).rlike("\\p{L}"))
+    return lettered.mapInArrow(run, docs.schema) if model.languages else lettered.limit(0)

@@ -25,15 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import Scratch
+from corvane.llm.common import Scratch, few
 from corvane.llm.components import components
 from corvane.llm.set_join import resolve
 from corvane.llm.shingles import mix, set_id, shingle_set
 
 #: Sets whose buckets a task has given already and needn't give again.
 REMEMBERED = 1 << 20
-#: Up to so many class names are broadcast, else they are joined by shuffling.
-BROADCAST_ROWS = 2_000_000
 
 
 @lru_cache(maxsize=64)
@@ -132,11 +130,8 @@ def join(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     shared = _buckets(docs, text, size, num, den).withColumn("low", F.min("sid").over(bucket)).withColumn("high", F.max("sid").over(bucket)).where("low <> high")
     members = scratch.table(shared.select("key", "sid").distinct(), "members")
     wanted = scratch.table(members.select("sid").distinct().join(named, "sid").select("sid", "first"), "wanted")
-    firsts = wanted.select(F.col("first").alias(key)).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        firsts = F.broadcast(firsts)
-    some = docs.select(key, text).join(firsts, key, "left_semi")
-    sets = scratch.table(_sets(some, text, size).join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    some = docs.select(key, text).join(few(wanted.select(F.col("first").alias(key)).distinct()), key, "left_semi")
+    sets = scratch.table(_sets(some, text, size).join(few(wanted.select("sid")), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
     links = resolve(members, sets, scratch, num, den)
     found = components(links, scratch, "links").select(F.col("id").alias("sid"), "component")
     groups = named.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -146,3 +141,9 @@ def join(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     result = scratch.table(out, "result", stay=True)
     scratch.drop()
     return result
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` whose key is their component's least; repeated rows of such a key stay together."""
+    found = join(docs, scratch, key, text, size, num, den)
+    return docs.join(few(found.where(F.col(key) != F.col("component_id")).select(key).distinct()), key, "left_anti").select(docs.columns)

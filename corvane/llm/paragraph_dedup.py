@@ -20,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import Scratch
+from corvane.llm.common import Scratch, few
 from corvane.llm.components import components
 from corvane.llm.set_join import resolve
 from corvane.llm.shingles import mix, rolled, words_of
 
 BANDS, ROWS = 8, 2
 REMEMBERED = 1 << 20
-BROADCAST_ROWS = 1_000_000
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 
 
@@ -132,9 +131,6 @@ def _sets(docs: DataFrame, text: str, size: int, least_words: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "sid long, n long, hashes binary")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
 
 def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, least_words: int = 20) -> DataFrame:
     """(key, line, start, end, n_words, class_key, class_line, removed): every paragraph that has a like
@@ -145,8 +141,8 @@ def classes(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     members = scratch.table(shared.select("key", "sid").distinct(), "members")
     named = rows.groupBy("sid").agg(F.min("key").alias("first"))
     wanted = scratch.table(named.join(members.select("sid").distinct(), "sid"), "wanted")
-    some = docs.select(key, text).join(_few(wanted.select(F.col("first").alias(key)).distinct()), key, "left_semi")
-    sets = scratch.table(_sets(some, text, size, least_words).join(_few(wanted.select("sid")), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    some = docs.select(key, text).join(few(wanted.select(F.col("first").alias(key)).distinct()), key, "left_semi")
+    sets = scratch.table(_sets(some, text, size, least_words).join(few(wanted.select("sid")), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
     links = resolve(members, sets, scratch, num, den)
     found = components(links, scratch, "links").select(F.col("id").alias("sid"), "component")
     of_set = rows.groupBy("sid").agg(F.min(F.struct("key", "line")).alias("first"), F.count("*").alias("n")).join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, once
+from corvane.llm.common import Scratch, few, once
 
 #: Kind, pattern, the group with the value, least characters of the value, a string
 #: without which there is no match. The first three are the base kinds.
@@ -99,8 +99,8 @@ def scan(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     pick = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("no"))))
     by_row = judged.groupBy("row").agg(pick(F.col("copied")).alias("copied"), pick(~F.col("copied") & F.col("varied")).alias("live"))
     empty = F.array().cast("array<int>")
-    out = table.join(by_row, "row", "left")
-    return out.select(F.col("key").alias(key), *[F.col(f"kept_{c}").alias(c) for c in keep], "spans", F.coalesce("live", empty).alias("live"), F.coalesce("copied", empty).alias("copied"))
+    out = table.join(few(scratch.table(by_row, "judged", stay=True)), "row", "left")
+    return out.select(*([] if key in keep else [F.col("key").alias(key)]), *[F.col(f"kept_{c}").alias(c) for c in keep], "spans", F.coalesce("live", empty).alias("live"), F.coalesce("copied", empty).alias("copied"))
 
 
 def redacted(text: Column, spans: Column, numbers: Column, mark: str = "[SECRET]") -> Column:
@@ -114,3 +114,11 @@ def redacted(text: Column, spans: Column, numbers: Column, mark: str = "[SECRET]
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
     return F.when(F.size(numbers) > 0, F.aggregate(chosen, start, step, rest)).otherwise(text)
+
+
+def without_live(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", repository: str = "source", n_chars: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with the live-looking spans of the text replaced, and n_chars of what it is then."""
+    found = scan(docs, scratch, key, text, repository, keep=tuple(docs.columns))
+    clean = redacted(F.col(text), F.col("spans"), F.col("live"))
+    out = found.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
+    return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)).select(docs.columns) if n_chars in docs.columns else out

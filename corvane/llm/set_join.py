@@ -23,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch
+from corvane.llm.common import Scratch, few
 from corvane.llm.components import components
 from corvane.llm.signature_tree import Forest, Tree, bitmap, folded, width
 
 
-#: Tables of pairs or names up to so many rows are broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
@@ -46,10 +44,6 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column.to_pylist()]
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Broadcast if it has few rows; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
 
 def _star(members: DataFrame, sets: DataFrame, scratch: Scratch, seed: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between sets and one centre each."""
@@ -58,8 +52,8 @@ def _star(members: DataFrame, sets: DataFrame, scratch: Scratch, seed: int, num:
     chosen = members.join(centres, "key").where(F.col("label") != F.col("centre.label")).groupBy("sid").agg(F.min("centre").alias("centre"))
     pairs = scratch.table(chosen.select("sid", F.col("centre.sid").alias("centre")), f"pairs_{seed}")
     # only the sets that take part are shuffled: those of the centres, and beside them each set once
-    centre_sets = sets.join(_few(pairs.select(F.col("centre").alias("sid")).distinct()), "sid", "left_semi")
-    left = sets.select(F.col("sid"), F.col("hashes").alias("x")).join(_few(pairs), "sid")
+    centre_sets = sets.join(few(pairs.select(F.col("centre").alias("sid")).distinct()), "sid", "left_semi")
+    left = sets.select(F.col("sid"), F.col("hashes").alias("x")).join(few(pairs), "sid")
     right = centre_sets.select(F.col("sid").alias("centre"), F.col("hashes").alias("y"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +144,11 @@ def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
         ends = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    maps = sets.join(_few(open_members.select("sid").distinct()), "sid", "left_semi").select("sid", "n", "hashes").mapInArrow(to_bitmap, "sid long, size long, map binary")
+    maps = sets.join(few(open_members.select("sid").distinct()), "sid", "left_semi").select("sid", "n", "hashes").mapInArrow(to_bitmap, "sid long, size long, map binary")
     cells = _cells(_once(open_members), cell_members).drop("n").join(maps, "sid")
     left = scratch.table(cells.groupBy("key", "i", "j").applyInArrow(survivors, "key long, i int, j int, part long, sid long, label long"), "survivors")
     parts = left.select(F.xxhash64("key", "i", "j", "part").alias("key"), "sid", "label")
-    some = sets.select("sid", "hashes").join(_few(parts.select("sid").distinct()), "sid", "left_semi")
+    some = sets.select("sid", "hashes").join(few(parts.select("sid").distinct()), "sid", "left_semi")
     cells = _cells(_once(parts), exact_members).drop("n").join(some, "sid")
     last = cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
     return links.union(scratch.table(last, "exact"))

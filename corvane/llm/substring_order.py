@@ -31,14 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch
+from corvane.llm.common import Scratch, few
 from corvane.llm.shingles import mix, powers
 
 GRAM = 32
 #: Windows of a text that are parsed at once; the next part starts a phrase of its own.
 PART = 1 << 20
-#: Up to so many keys are broadcast, else they are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
 
 
 def _sums(raw: np.ndarray) -> np.ndarray:
@@ -105,9 +103,6 @@ def _parse(source: DataFrame, least: int) -> DataFrame:
     return found.select("trigger", "phrase", "k", "th", F.shiftleft("s", 12).bitwiseOR(F.col("w")).alias("sw"), "sides")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
 
 def repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(the texts, with columns key, k, th, text; the repeated ranges (k, th, start, end) in bytes).
@@ -143,7 +138,7 @@ def repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
                 n = len(begin)
                 yield pa.RecordBatch.from_arrays([pa.array(_hash(sums, begin, begin + least).view(np.int64)), pa.array(np.full(n, batch.column("k")[i].as_py(), np.int64)), pa.array(np.full(n, batch.column("th")[i].as_py(), np.int32)), pa.array(begin)], ["window", "k", "th", "s"])
 
-    names = _few(lists.select("k", "th").distinct())
+    names = few(lists.select("k", "th").distinct())
     texts = source.select("k", "th", "text").join(names, ["k", "th"], "left_semi").join(lists, ["k", "th"]).dropDuplicates(["k", "th"])
     cut = scratch.table(texts.mapInArrow(windows, "window long, k long, th int, s long"), "windows")
     at = F.struct("k", "th", "s")
@@ -182,7 +177,7 @@ def strip(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
                     spans.append(len(start))
                 yield pa.RecordBatch.from_arrays([some.column("key"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["key", "n_removed", "n_spans", "kept"])
 
-    names = _few(by_text.select("k", "th"))
+    names = few(by_text.select("k", "th"))
     touched = source.join(names, ["k", "th"], "left_semi").join(by_text, ["k", "th"])
     cut = touched.select("key", "text", "ranges").mapInArrow(run, f"key {kind}, n_removed long, n_spans long, kept binary")
     same = source.join(names, ["k", "th"], "left_anti").select("key", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))
