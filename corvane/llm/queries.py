@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import byte_bpe, decontamination, language_id, ngram_join, paragraph_dedup, pii, quality_rules, secret_scan, substring_order, token_files
+from corvane.llm import byte_bpe, decontamination, language_id, ngram_join, oracles, paragraph_dedup, pii, quality_rules, secret_scan, substring_order, token_files
 from corvane.llm.common import Scratch, documents
 
 
@@ -86,4 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_order": op10_substring_order,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_ngram_join": oracles.OP1,
+    "op3_secret_scan": oracles.OP3,
+    "op6_paragraph_dedup": oracles.OP6,
+    "op8_decontamination": oracles.OP8,
+}
