@@ -132,7 +132,7 @@ def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
         sids, values = cell.column("sid").to_numpy(), _arrays(cell.column("hashes"))
         sizes = np.array([len(x) for x in values], np.int64)
         _, labels = np.unique(cell.column("label").to_numpy(), return_inverse=True)
-        bits = 8 * width(int(sizes.max()))
+        bits = 2 * width(int(sizes.max()))
         order, tree = _tree(labels, sizes, [bitmap(x, bits) for x in values])
         forest, links = Forest(int(labels.max()) + 1), []
         for i, j, most in tree.pairs(num, den):
