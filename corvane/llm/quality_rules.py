@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, once, words
+from corvane.llm.common import Scratch, few, once, words
 
 #: Feature and the least standard deviation that it is given.
 FEATURES = (("word_length", 0.2), ("symbols", 0.06), ("dup_lines", 0.15), ("repeats", 0.2))
@@ -137,18 +137,19 @@ def judge(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "t
     """The columns of ``statistics`` with distance (double), outlier, base_failed and kept."""
     p = len(NAMES)
     rows = scratch.table(_grouped(scratch.table(statistics(docs, key, text, lang, source).select("*", *features()), "statistics"), least_group), "grouped")
-    middle = rows.groupBy("grp").agg(*[F.percentile_approx(name, 0.5, 1000).alias(f"z_{i}") for i, name in enumerate(NAMES)])
+    middle = few(scratch.table(rows.groupBy("grp").agg(*[F.percentile_approx(name, 0.5, 1000).alias(f"z_{i}") for i, name in enumerate(NAMES)]), "medians"))
     small = rows.select("grp", *NAMES).join(middle, "grp")
     # the start: distances from the medians, in units of the floors
     start = sum((((F.col(name) - F.col(f"z_{i}")) / F.lit(least)) ** 2 for i, (name, least) in enumerate(FEATURES)), F.lit(0.0))
     near = small.withColumn("d", start)
     model = None
     for step in range(steps):
-        limits = near.groupBy("grp").agg(F.percentile_approx("d", subset, 1000).alias("limit"))
+        limits = few(scratch.table(near.groupBy("grp").agg(F.percentile_approx("d", subset, 1000).alias("limit")), f"limits_{step}"))
         inside = near.join(limits, "grp").where("d <= limit")
-        model = scratch.table(_whitening(_estimate(inside)), f"model_{step}")
+        model = few(scratch.table(_whitening(_estimate(inside)), f"model_{step}"))
         near = small.join(model, "grp").withColumn("d", _distance()).select("grp", *NAMES, *[f"z_{i}" for i in range(p)], "d")
-    scale = near.groupBy("grp").agg(F.percentile_approx("d", 0.5, 1000).alias("median")).withColumn("scale", F.greatest(F.col("median") / CHI2_MEDIAN, F.lit(1.0))).select("grp", "scale")
+    medians = near.groupBy("grp").agg(F.percentile_approx("d", 0.5, 1000).alias("median")).withColumn("scale", F.greatest(F.col("median") / CHI2_MEDIAN, F.lit(1.0))).select("grp", "scale")
+    scale = few(scratch.table(medians, "scales"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = rows.join(model, "grp").join(scale, "grp").withColumn("distance", _distance() / F.col("scale")).withColumn("outlier", F.col("distance") > most).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
     return out.select(F.col("key").alias(key), "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "distance", "outlier", "base_failed", "kept")
