@@ -310,7 +310,7 @@ query("markov_table", f"WITH {_STEP}, {_TABLE} SELECT s, t, round(p, 6) AS p FRO
 query("markov_score", f"WITH {_STEP}, {_TABLE}, e AS (SELECT user_id, event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS t FROM events) SELECT user_id, round(sum(coalesce(ln(p), 0)), 5) + 0.0 AS log_probability FROM e LEFT JOIN p USING (s, t) GROUP BY user_id")(lambda spark, d: rounded(sequences.log_probabilities(table(spark, d, "events"), sequences.transition_table(_steps(spark, d), 0.5), "user_id", "event_id", "event_type"), 5))
 query("markov_two_steps", f"WITH {_STEP}, {_TABLE} SELECT a.s, b.t, round(sum(a.p * b.p), 6) AS p FROM p a JOIN p b ON a.t = b.s GROUP BY ALL")(lambda spark, d: (lambda c: spark.createDataFrame([(s, t, round(p, 6)) for s in c.states for t, p in c.after(s, 2).items()], "s string, t string, p double"))(sequences.MarkovChain.of(sequences.transition_table(_steps(spark, d), 0.5))))
 query("markov_stationary")(lambda spark, d: spark.createDataFrame(list(sequences.MarkovChain.of(sequences.transition_table(_steps(spark, d), 0.5)).stationary().items()), "state string, p double"))
-query("discounted_returns", "SELECT event_id, round(sum(b.value * pow(0.5, b.i - a.i)), 2) AS discounted FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) a JOIN (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) b ON a.user_id = b.user_id AND b.i >= a.i AND b.i < a.i + 60 GROUP BY event_id")(
+query("discounted_returns", "SELECT event_id, round(sum(b.value * pow(0.5, b.i - a.i)), 9) AS discounted FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) a JOIN (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) b ON a.user_id = b.user_id AND b.i >= a.i AND b.i < a.i + 60 GROUP BY event_id")(
     lambda spark, d: _returns(spark, d)
 )
 
@@ -322,7 +322,7 @@ def _returns(spark: SparkSession, d: str) -> DataFrame:
     # long episodes are cut, so that powers of the rate stay in range; 60 steps leave 1e-18 of a reward
     parts = rows.withColumn("block", F.explode(F.array(F.floor(F.col("i") / 60), F.floor(F.col("i") / 60) - 1))).where("block >= 0").withColumn("own", F.floor(F.col("i") / 60) == F.col("block"))
     out = sequences.discounted_returns(parts.withColumn("episode", F.struct("user_id", "block")), "episode", "i", "value", 0.5)
-    return rounded(out.where("own").select("event_id", "discounted"), 2)
+    return rounded(out.where("own").select("event_id", "discounted"), 9)
 
 
 _W = f"w AS (SELECT doc_id, regexp_extract_all(lower(text), '{LETTERS}') AS ws FROM documents)"
