@@ -26,77 +26,117 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from corvane.llm.common import parts_for
+from corvane.llm.shingles import mix
 
 #: A cut before a space is a pre-token boundary unless white space stands on both sides of it.
 _UNSURE = re.compile(r"\s (?:\s|\Z)")
-#: A piece that can be encoded in one string with others, a line break between each two.
-_PLAIN = re.compile(r" ?\S+")
 #: Distinct pieces whose ids a worker remembers; then it starts anew.
-REMEMBERED = 800_000
-#: Texts that are split at once, to bound the number of pieces in memory.
-AT_ONCE = 400
+REMEMBERED = 500_000
+#: Bytes of text whose pieces are looked at together, and the longest piece that is hashed.
+AT_ONCE, LONGEST = 4 << 20, 64
+_SPACE, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, np.int8)
+_SPACE[32], _LETTER[65:91], _LETTER[97:123], _MARK[46], _MARK[44] = True, True, True, 1, 2
+_POWERS = np.multiply.accumulate(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for
+    the characters from U+0100 on, in order (a fixed rule of the vocabulary)."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class PieceEncoder:
     """Encodes texts by their pieces between spaces, each distinct piece once.
 
-    The tokenizer never merges over the boundary before a space that has a character other than
-    white space beside it, so a text's ids are those of its pieces, joined; texts with other spaces
-    are encoded whole. A full stop or comma behind a letter is a piece of its own.
+    A byte-level pre-tokenizer never joins what a space with a character other than white space
+    beside it divides, so a text's ids are those of its pieces, joined. Pieces are told apart by
+    64-bit hashes, taken over many texts at once; a full stop or comma behind an ASCII letter is a
+    piece of its own. Texts with other spaces, and all texts of other kinds of tokenizers, are
+    encoded whole.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # by what follows the space
-        (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids or [None]
+        self.tokenizer = t = Tokenizer.from_file(path)
+        self.by_piece = type(t.pre_tokenizer) is ByteLevel and not t.pre_tokenizer.add_prefix_space and t.normalizer is None and not any(" " in x.content for x in t.get_added_tokens_decoder().values())
+        self.known: dict[int, bytes] = {}
+        self.letters = _byte_letters()
+        self.marks = [b"", *self.whole([".", ","])]
+        self.by_piece &= all(len(x) == 4 for x in self.marks[1:])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece; plain pieces go in few long strings."""
-        if self.line_break is None or not all(map(_PLAIN.fullmatch, pieces)):
-            plain = [p for p in pieces if _PLAIN.fullmatch(p)] if self.line_break is not None else []
-            known = dict(zip(plain, self._pieces(plain), strict=True)) if plain else {}
-            rest = [p for p in pieces if p not in known]
-            known.update(zip(rest, self.whole(rest), strict=True))
-            return [known[p] for p in pieces]
-        out = []
-        for at in range(0, len(pieces), 2000):
-            some = pieces[at : at + 2000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.line_break)
-            if len(ends) != len(some) - 1:  # a piece has the id of a line break in it
-                out += self.whole(some)
-                continue
-            data, edges = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
-            out += [data[i:j] for i, j in zip(edges, [*(4 * ends).tolist(), len(data)], strict=True)]
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        """A piece of common letters is one pre-token, which the model takes as it is."""
+        texts = [p.decode("utf-8", "surrogatepass") for p in pieces]
+        tokenize, table = self.tokenizer.model.tokenize, self.letters
+        out: list[bytes | None] = [np.asarray([y.id for y in tokenize(p.decode("latin-1").translate(table))], dtype="<u4").tobytes() if x.removeprefix(" ").isalpha() and max(x) < "\u0250" else None for p, x in zip(pieces, texts, strict=True)]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            out[i] = ids
         return out
 
-    def _learn(self, known: dict[str, bytes], missing: set[str], prefix: str) -> None:
-        cores = {p[:-1] for p in missing if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()}
-        plain = [p for p in missing if not (len(p) > 1 and p[-1] in ".," and p[-2].isalpha())]
-        new = list({*plain, *(p for p in cores if p not in known)})
-        known.update(zip(new, self._pieces([prefix + p for p in new]), strict=True))
-        marks = dict(zip(".,", self.whole([".", ","]), strict=True))
-        known.update((p, known[p[:-1]] + marks[p[-1]]) for p in missing if p not in known)
-
-    def _joined(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNSURE.search(x) else x.split(" ") for x in texts]
-        if len(self.spaced) + len(self.first) > REMEMBERED:
-            self.first, self.spaced = {}, {}
-        self._learn(self.first, {x[0] for x in split if x and x[0] not in self.first}, "")
-        found = [None if x is None else list(map(self.spaced.get, x[1:])) for x in split]
-        missing = {p for x, ids in zip(split, found, strict=True) if ids and None in ids for p, i in zip(x[1:], ids, strict=True) if i is None}
-        self._learn(self.spaced, missing, " ")
-        return [self.whole([text])[0] if x is None else self.first[x[0]] + b"".join(map(self.spaced.__getitem__, x[1:]) if None in ids else ids) for text, x, ids in zip(texts, split, found, strict=True)]
+    def _joined(self, texts: list[bytes]) -> list[bytes]:
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(x) for x in texts])
+        first = np.unique(np.concatenate([[0], ends[:-1], np.flatnonzero(_SPACE[raw])]))
+        first = first[first < len(raw)]
+        size = np.diff(np.concatenate([first, [len(raw)]]))
+        last = first + size - 1
+        mark = np.where((size > 1) & _LETTER[raw[np.maximum(last - 1, 0)]], _MARK[raw[last]], 0)
+        inside = np.arange(len(raw)) - np.repeat(first, size)
+        values = (raw.astype(np.uint64) + np.uint64(1)) * _POWERS[np.minimum(inside, LONGEST - 1)]
+        values[last[mark > 0]] = 0
+        names = mix(np.add.reduceat(values, first) + (size - (mark > 0)).astype(np.uint64))
+        long = np.flatnonzero(size > LONGEST)
+        names[long] = [hash(raw[first[i] : first[i] + size[i]].tobytes()) & (2**64 - 1) for i in long.tolist()]
+        distinct, at, which = np.unique(names, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        if len(self.known) + len(keys) > REMEMBERED:
+            self.known = {}
+        found = list(map(self.known.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
+        data = raw.tobytes()
+        starts, lengths = first[at].tolist(), (size - (mark > 0))[at].tolist()
+        for i, ids in zip(missing, self._new([data[starts[i] : starts[i] + lengths[i]] for i in missing]), strict=True):
+            found[i] = self.known[keys[i]] = ids
+        # every piece's ids, and its mark's, side by side
+        pool = np.frombuffer(b"".join(found) + b"".join(self.marks), "<u4")
+        count = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        offset = np.cumsum(count) - count
+        own = count[which]
+        width = own + (mark > 0)
+        begin = np.cumsum(width) - width
+        out = np.empty(int(width.sum()), "<u4")
+        step = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        out[np.repeat(begin, own) + step] = pool[np.repeat(offset[which], own) + step]
+        marked = mark > 0
+        out[(begin + own)[marked]] = pool[len(pool) - 3 + mark[marked].astype(np.int64)]
+        cut = np.concatenate([begin, [len(out)]])[np.searchsorted(first, np.concatenate([[0], ends]))] * 4
+        flat = out.tobytes()
+        return [flat[i:j] for i, j in itertools.pairwise(cut.tolist())]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
-        return [x for at in range(0, len(texts), AT_ONCE) for x in self._joined(texts[at : at + AT_ONCE])]
+        out: list[bytes] = [b""] * len(texts)
+        batch, some, size = [], [], 0
+        for i, x in enumerate(texts):
+            if not self.by_piece or _UNSURE.search(x):
+                out[i] = self.whole([x])[0]
+            elif x:
+                some.append(x.encode("utf-8", "surrogatepass"))
+                batch.append(i)
+                size += len(some[-1])
+            if some and (size >= AT_ONCE or i == len(texts) - 1):
+                for k, ids in zip(batch, self._joined(some), strict=True):
+                    out[k] = ids
+                batch, some, size = [], [], 0
+        return out
 
 
 @lru_cache(maxsize=1)
