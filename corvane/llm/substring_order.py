@@ -10,12 +10,14 @@ triggers, so only phrases of one trigger need comparing:
   the parse decides which is first);
 * among different phrases of one trigger, the windows themselves, that is the phrases' suffixes cut
   at ``least`` bytes, are brought together, and each kind's first place stays. Only phrases that
-  agree with another for half of what a window has beside the trigger take part.
+  agree with another for half of what a window has beside the trigger, on one side, take part, and
+  meet only those that agree on that side.
 
 The order of suffixes is needed no further than to their ``least``-th byte, and only up to equality,
-so suffixes are grouped by 64-bit fingerprints instead of sorted. A phrase or window that stands in
-a third of all texts is pre-aggregated to its first place before shuffling, and joins on it can be
-split.
+so suffixes are grouped by 64-bit fingerprints instead of sorted. A phrase that stands in a third of
+all texts is pre-aggregated to its first place before shuffling, and joins on it can be split; more
+than ``hot`` different phrases that agree on a side are compared window by window, pre-aggregated
+likewise, instead of in one task.
 
 Defined cases: a null text is empty; rows with equal keys and texts are one document and get the same
 result; of rows with equal keys and other texts the order is by a hash of the text; null keys come
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import Scratch, few
 from corvane.llm.shingles import mix, powers
 
-GRAM = 32
+GRAM = 24
 #: Windows of a text that are parsed at once; the next part starts a phrase of its own.
 PART = 1 << 20
 
@@ -61,7 +63,7 @@ def _least(x: np.ndarray, span: int) -> np.ndarray:
 
 
 def phrases(raw: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """(trigger, phrase, first window, last window, sides) of a text of ``least`` bytes or more."""
+    """(trigger, phrase, place, sides) of a text of ``least`` bytes or more."""
     sums, n = _sums(raw), len(raw)
     at = np.arange(n - GRAM + 1)
     grams = _hash(sums, at, at + GRAM)
@@ -70,10 +72,12 @@ def phrases(raw: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     first = np.concatenate([[0], np.flatnonzero(chosen[1:] != chosen[:-1]) + 1])
     last = np.concatenate([first[1:] - 1, [len(chosen) - 1]])
     g, half = chosen[first], (least - GRAM + 1) // 2
-    whole = _hash(sums, first, last + least) ^ mix(((g - first) * 4096 + (last - first)).astype(np.uint64))
+    # a place: the first window, the trigger's distance from it, and the last window's
+    place = (first << 20) | ((g - first) << 10) | (last - first)
+    whole = _hash(sums, first, last + least) ^ mix((place & 0xFFFFF).astype(np.uint64))
     left = _hash(sums, np.maximum(g - half, 0), g) >> np.uint64(32)
-    right = _hash(sums, g + GRAM, np.minimum(g + GRAM + half, n)) & ~low
-    return grams[g], whole, first, last, left | right
+    right = _hash(sums, g + GRAM, np.minimum(g + GRAM + half, n)) >> np.uint64(32)
+    return grams[g], whole, place, left << np.uint64(32) | right
 
 
 def _bytes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -82,29 +86,39 @@ def _bytes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _parse(source: DataFrame, least: int) -> DataFrame:
-    """(trigger, phrase, k, th, s, w, left, right): the phrases of each text; s is the first window, w the last."""
+    """(trigger, phrase, k, th, at, sides): the phrases of each text and their places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, keys, counts = [], [], []
             for i, raw in enumerate(_bytes(batch)):
                 for start in range(0, max(len(raw) - least + 1, 0), PART):
-                    t, p, first, last, sides = phrases(raw[start : start + PART + least - 1], least)
-                    out.append((t, p, first + start, last + start, sides))
+                    t, p, place, sides = phrases(raw[start : start + PART + least - 1], least)
+                    out.append((t, p, place + (start << 20), sides))
                     keys.append(i)
                     counts.append(len(t))
                 if sum(counts) > 100_000 or (i == batch.num_rows - 1 and out):
-                    t, p, first, last, sides = (np.concatenate(x) for x in zip(*out, strict=True))
+                    t, p, place, sides = (np.concatenate(x) for x in zip(*out, strict=True))
                     rows = pa.array(np.repeat(keys, counts))
-                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(p.view(np.int64)), batch.column("k").take(rows), batch.column("th").take(rows), pa.array(first), pa.array(last - first, pa.int64()), pa.array(sides.view(np.int64))], ["trigger", "phrase", "k", "th", "s", "w", "sides"])
+                    yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(p.view(np.int64)), batch.column("k").take(rows), batch.column("th").take(rows), pa.array(place), pa.array(sides.view(np.int64))], ["trigger", "phrase", "k", "th", "at", "sides"])
                     out, keys, counts = [], [], []
 
-    found = source.mapInArrow(run, "trigger long, phrase long, k long, th int, s long, w long, sides long")
-    return found.select("trigger", "phrase", "k", "th", F.shiftleft("s", 12).bitwiseOR(F.col("w")).alias("sw"), "sides")
+    return source.mapInArrow(run, "trigger long, phrase long, k long, th int, at long, sides long")
 
 
+def _parts(at: np.ndarray, sides: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the entry, first window, last window): of each entry, the windows that reach half of
+    their rest to the left of the trigger (sides & 1), and the others (sides & 2)."""
+    half = (least - GRAM + 1) // 2
+    first, last = at >> 20, (at >> 20) + (at & 1023)
+    split = np.clip(first + ((at >> 10) & 1023) - half, first - 1, last)  # the last of the left ones
+    n = np.arange(len(at))
+    entry, a, b = np.concatenate([n, n]), np.concatenate([first, split + 1]), np.concatenate([split, last])
+    keep = np.concatenate([(sides & 1) > 0, (sides & 2) > 0]) & (a <= b)
+    return entry[keep], a[keep], b[keep]
 
-def repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", least: int = 100) -> tuple[DataFrame, DataFrame]:
+
+def repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", least: int = 100, hot: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(the texts, with columns key, k, th, text; the repeated ranges (k, th, start, end) in bytes).
 
     A range may overlap others; the texts' k and th name a document.
@@ -113,38 +127,99 @@ def repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     parsed = _parse(source.select("k", "th", "text"), least)
     again = parsed.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger")
     rows = scratch.table(parsed.join(again, "trigger"), "phrases")
-    place = F.struct("k", "th", "sw")
+    scratch.release()
+    place = F.struct("k", "th", "at")
     entries = scratch.table(rows.groupBy("trigger", "phrase").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sides").alias("sides")), "dictionary")
 
     # occurrences of a phrase but the first
     many = entries.where("n > 1").select("trigger", "phrase", "first")
-    span = lambda df: df.select("k", "th", F.shiftright("sw", 12).alias("start"), (F.shiftright("sw", 12) + F.col("sw").bitwiseAND(F.lit(4095)) + least).alias("end"))
-    whole = span(rows.join(many, ["trigger", "phrase"]).where(place != F.col("first")))
+    start = F.shiftright("at", 20)
+    whole = scratch.table(rows.join(many, ["trigger", "phrase"]).where(place != F.col("first")).select("k", "th", start.alias("start"), (start + F.col("at").bitwiseAND(F.lit(1023)) + least).alias("end")), "whole")
+    scratch.drop("phrases")
+    scratch.release()
 
     # different phrases of one trigger that agree on one side
-    left, right = F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("sides", 32)
-    sided = entries.select("trigger", "first", F.explode(F.array(F.xxhash64(F.lit(0), "trigger", left), F.xxhash64(F.lit(1), "trigger", right))).alias("side"))
-    shared = sided.groupBy("side").agg(F.count("*").alias("n")).where("n > 1").select("side")
-    edges = sided.join(shared, "side").select("first.*").distinct()
-    lists = scratch.table(edges.groupBy("k", "th").agg(F.collect_list("sw").alias("at")), "edges")
+    left, right = F.shiftright("sides", 32), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))
+    sided = entries.select("first", F.explode(F.array(F.struct(F.xxhash64(F.lit(0), "trigger", left).alias("side"), F.lit(1).alias("which")), F.struct(F.xxhash64(F.lit(1), "trigger", right).alias("side"), F.lit(2).alias("which")))).alias("s")).select("first", "s.side", "s.which")
+    shared = sided.groupBy("side").agg(F.count("*").alias("n")).where("n > 1")
+    edges = sided.join(shared, "side").select("first.*", F.struct("at", "which", "side", (F.col("n") > hot).alias("hot")).alias("edge"))
+    lists = scratch.table(edges.groupBy("k", "th").agg(F.collect_list("edge").alias("edges")), "edges")
+    texts = source.select("k", "th", "text").join(few(lists.select("k", "th").distinct()), ["k", "th"], "left_semi").join(lists, ["k", "th"]).dropDuplicates(["k", "th"])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each edge, the bytes of its windows."""
+        for batch in batches:
+            for step in range(0, batch.num_rows, 200):
+                some = batch.slice(step, 200)
+                columns: list[list] = [[], [], [], [], [], []]
+                for i, x in enumerate(some.column("text").to_pylist()):
+                    found = some.column("edges")[i].values
+                    at, which, side, is_hot = (found.field(f).to_numpy(zero_copy_only=False) for f in ("at", "which", "side", "hot"))
+                    entry, a, b = _parts(at, which, least)
+                    data = x.encode("utf-8", "surrogatepass")
+                    k, th = some.column("k")[i].as_py(), some.column("th")[i].as_py()
+                    for column, values in zip(columns, (side[entry].tolist(), [k] * len(entry), [th] * len(entry), a.tolist(), is_hot[entry].tolist(), [data[p : q + least] for p, q in zip(a.tolist(), b.tolist(), strict=True)]), strict=True):
+                        column += values
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["side", "k", "th", "start", "hot", "data"])
+
+    def window_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, number of the row) of every window."""
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        size = np.array([len(x) for x in data], np.int64)
+        count = size - least + 1
+        begin = np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return _hash(_sums(raw), begin, begin + least), np.repeat(np.arange(len(data)), count)
+
+    def seen_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in the order of side and place: the windows that an earlier row of the side has."""
+        side_now, seen = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            for step in range(0, batch.num_rows, 20_000):
+                some = batch.slice(step, 20_000)
+                hashes, row = window_hashes(some.column("data").to_pylist())
+                side = some.column("side").to_numpy()
+                # windows of different sides aren't compared, so the side goes into the name
+                names = mix(hashes ^ mix(side.view(np.uint64)[row]))
+                if side[0] != side_now:
+                    seen = np.zeros(0, np.uint64)
+                _, first = np.unique(names, return_index=True)
+                repeated = np.ones(len(names), bool)
+                repeated[first] = False
+                if len(seen):
+                    same = side[row] == side[0]
+                    repeated[same] |= np.isin(names[same], seen)
+                side_now = side[-1]
+                of_last = names[side[row] == side_now]
+                seen = np.unique(np.concatenate([seen, of_last]) if side[0] == side_now else of_last)
+                edge = np.concatenate([[True], (row[1:] != row[:-1]) | (repeated[1:] != repeated[:-1])])
+                begin = np.flatnonzero(edge)
+                end = np.concatenate([begin[1:], [len(row)]])
+                begin, end = begin[repeated[begin]], end[repeated[begin]]
+                firsts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=some.num_rows))[:-1]])
+                r = row[begin]
+                base = some.column("start").to_numpy()[r] - firsts[r]
+                rows_of = pa.array(r)
+                yield pa.RecordBatch.from_arrays([some.column("k").take(rows_of), some.column("th").take(rows_of), pa.array(base + begin), pa.array(base + end - 1 + least)], ["k", "th", "start", "end"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw in enumerate(_bytes(batch)):
-                at = np.array(batch.column("at")[i].as_py(), np.int64)
-                first, count = at >> 12, (at & 4095) + 1
-                begin = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
-                sums = _sums(raw)
-                n = len(begin)
-                yield pa.RecordBatch.from_arrays([pa.array(_hash(sums, begin, begin + least).view(np.int64)), pa.array(np.full(n, batch.column("k")[i].as_py(), np.int64)), pa.array(np.full(n, batch.column("th")[i].as_py(), np.int32)), pa.array(begin)], ["window", "k", "th", "s"])
-
-    names = few(lists.select("k", "th").distinct())
-    texts = source.select("k", "th", "text").join(names, ["k", "th"], "left_semi").join(lists, ["k", "th"]).dropDuplicates(["k", "th"])
-    cut = scratch.table(texts.mapInArrow(windows, "window long, k long, th int, s long"), "windows")
-    at = F.struct("k", "th", "s")
-    firsts = cut.groupBy("window").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
-    single = cut.join(firsts, "window").where(at != F.col("first")).select("k", "th", F.col("s").alias("start"), (F.col("s") + least).alias("end"))
-    return source, scratch.table(whole.union(single), "ranges")
+            hashes, row = window_hashes(batch.column("data").to_pylist())
+            firsts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))[:-1]])
+            rows_of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("k").take(rows_of), batch.column("th").take(rows_of), pa.array(batch.column("start").to_numpy()[row] + np.arange(len(row)) - firsts[row])], ["window", "k", "th", "s"])
+
+    found = scratch.table(texts.mapInArrow(contexts, "side long, k long, th int, start long, hot boolean, data binary"), "contexts")
+    scratch.release()
+    met = found.where(~F.col("hot")).drop("hot").repartition("side").sortWithinPartitions("side", "k", "th", "start")
+    ranges = whole.union(scratch.table(met.mapInArrow(seen_before, "k long, th int, start long, end long"), "cold"))
+    if found.where("hot").limit(1).count():
+        cut = scratch.table(found.where("hot").mapInArrow(windows, "window long, k long, th int, s long"), "windows")
+        at = F.struct("k", "th", "s")
+        firsts = cut.groupBy("window").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
+        single = cut.join(firsts, "window").where(at != F.col("first")).select("k", "th", F.col("s").alias("start"), (F.col("s") + least).alias("end"))
+        ranges = ranges.union(scratch.table(single, "hot"))
+    scratch.drop("contexts", "dictionary")
+    return source, ranges
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
