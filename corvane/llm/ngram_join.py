@@ -32,6 +32,8 @@ from corvane.llm.shingles import mix, set_id, shingle_set
 
 #: Sets whose buckets a task has given already and needn't give again.
 REMEMBERED = 1 << 20
+#: Texts that are hashed before their rows leave a worker.
+AT_ONCE = 500
 
 
 @lru_cache(maxsize=64)
@@ -93,19 +95,20 @@ def _buckets(docs: DataFrame, text: str, size: int, num: int, den: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
-            keys, sids, counts = [], [], []
-            for x in batch.column("text").to_pylist():
-                hashes = shingle_set(x or "", size)
-                sid = set_id(hashes)
-                if sid in known or not sid:
-                    continue
-                known = known if len(known) < REMEMBERED else set()
-                known.add(sid)
-                keys.append(bucket_keys(hashes, num, den))
-                sids.append(sid)
-                counts.append(len(keys[-1]))
-            if sum(counts):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), counts))], ["key", "sid"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                keys, sids, counts = [], [], []
+                for x in batch.column("text").slice(at, AT_ONCE).to_pylist():
+                    hashes = shingle_set(x or "", size)
+                    sid = set_id(hashes)
+                    if sid in known or not sid:
+                        continue
+                    known = known if len(known) < REMEMBERED else set()
+                    known.add(sid)
+                    keys.append(bucket_keys(hashes, num, den))
+                    sids.append(sid)
+                    counts.append(len(keys[-1]))
+                if sum(counts):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), counts))], ["key", "sid"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, sid long")
 
@@ -113,8 +116,9 @@ def _buckets(docs: DataFrame, text: str, size: int, num: int, den: int) -> DataF
 def _sets(docs: DataFrame, text: str, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x or "", size) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["sid", "n", "hashes"])
+            for at in range(0, batch.num_rows, AT_ONCE):
+                sets = [shingle_set(x or "", size) for x in batch.column("text").slice(at, AT_ONCE).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["sid", "n", "hashes"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "sid long, n long, hashes binary")
 
@@ -129,10 +133,13 @@ def join(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     bucket = Window.partitionBy("key")
     shared = _buckets(docs, text, size, num, den).withColumn("low", F.min("sid").over(bucket)).withColumn("high", F.max("sid").over(bucket)).where("low <> high")
     members = scratch.table(shared.select("key", "sid").distinct(), "members")
+    scratch.release()
     wanted = scratch.table(members.select("sid").distinct().join(named, "sid").select("sid", "first"), "wanted")
     some = docs.select(key, text).join(few(wanted.select(F.col("first").alias(key)).distinct()), key, "left_semi")
     sets = scratch.table(_sets(some, text, size).join(few(wanted.select("sid")), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    scratch.release()
     links = resolve(members, sets, scratch, num, den)
+    scratch.release()
     found = components(links, scratch, "links").select(F.col("id").alias("sid"), "component")
     groups = named.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = groups.groupBy("component").agg(F.min("first").alias("component_id"))

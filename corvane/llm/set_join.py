@@ -100,6 +100,7 @@ def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
     open_members = members.select("key", "sid", F.col("sid").alias("label"))
     for i in range(stars):
         found = scratch.table(_star(open_members, sets, scratch, i, num, den), f"star_{i}")
+        scratch.release()
         links = found if links is None else links.union(found)
         open_members = scratch.table(_labelled(open_members, links, scratch, f"after_star_{i}"), f"open_{i}")
         if not open_members.limit(1).count():
@@ -147,6 +148,7 @@ def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
     maps = sets.join(few(open_members.select("sid").distinct()), "sid", "left_semi").select("sid", "n", "hashes").mapInArrow(to_bitmap, "sid long, size long, map binary")
     cells = _cells(_once(open_members), cell_members).drop("n").join(maps, "sid")
     left = scratch.table(cells.groupBy("key", "i", "j").applyInArrow(survivors, "key long, i int, j int, part long, sid long, label long"), "survivors")
+    scratch.release()
     parts = left.select(F.xxhash64("key", "i", "j", "part").alias("key"), "sid", "label")
     some = sets.select("sid", "hashes").join(few(parts.select("sid").distinct()), "sid", "left_semi")
     cells = _cells(_once(parts), exact_members).drop("n").join(some, "sid")
