@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from corvane.errors import EmptyInputError
 from corvane.functions.vectors import total
@@ -104,8 +106,6 @@ def dbscan(df: DataFrame, features: Sequence[str], key: str, radius: float, leas
     border = pairs.join(core.withColumnRenamed("id", "b"), "b").join(core.withColumnRenamed("id", "a"), "a", "left_anti").groupBy(F.col("a").alias("id")).agg(F.min(F.struct("d", "b")).alias("near"))
     joined = labels.union(border.join(labels.withColumnRenamed("id", "_core"), F.col("near.b") == F.col("_core")).select("id", "label"))
     # numbers by rank among the few distinct labels
-    from pyspark.sql.window import Window
-
     names = labels.select("label").distinct().withColumn("number", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
     out = rows.select("id").join(joined, "id", "left").join(names, "label", "left")
     return out.select(F.col("id").alias(key), F.coalesce("number", F.lit(-1)).alias("label"))
@@ -217,7 +217,7 @@ def self_organising_map(points: np.ndarray, width: int = 4, height: int = 4, epo
 def assign_to(df: DataFrame, vector: str, codes: np.ndarray, name: str = "code") -> DataFrame:
     """The nearest of bounded codes for each row's array, ties to the lesser number."""
     shared = df.sparkSession.sparkContext.broadcast(np.asarray(codes, float))
-    schema = df.schema.add(name, "int")
+    schema = StructType([*df.schema, StructField(name, IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value

@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import tokens as K
 from corvane.functions import vectors as V
-from corvane.operators import clustering, decomposition, embeddings, evaluation, generative, grids, linear, logistic, neighbours, polynomial, selection, sequences, text, trees
+from corvane.operators import clustering, decomposition, embeddings, evaluation, features, generative, grids, kernels, layers, linear, logistic, neighbours, polynomial, selection, sequences, subwords, text, trees, word_vectors
 from corvane.operators.scaling import Scaler
 from corvane.sources.tables import frame, table
 
@@ -444,3 +445,73 @@ def _z(spark: SparkSession, d: str) -> DataFrame:
 query("losses", f"WITH {_Z} SELECT round(avg((z - y) * (z - y) / 2), 6) AS squared, round(avg(abs(z - y)), 6) AS absolute, round(avg(CASE WHEN abs(z - y) <= 1 THEN (z - y) * (z - y) / 2 ELSE abs(z - y) - 0.5 END), 6) AS huber, round(avg(greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))), 6) AS cross_entropy FROM z")(lambda spark, d: rounded(_z(spark, d).agg(F.avg(V.squared_error(F.col("z"), F.col("y"))).alias("squared"), F.avg(V.absolute_error(F.col("z"), F.col("y"))).alias("absolute"), F.avg(V.huber_error(F.col("z"), F.col("y"))).alias("huber"), F.avg(V.binary_cross_entropy(F.col("z"), F.col("y"))).alias("cross_entropy"))))
 query("activations", f"WITH {_Z} SELECT l_orderkey, l_linenumber, round(greatest(z, 0), 6) + 0.0 AS relu, round(1 / (1 + exp(-z)), 6) AS sigmoid, round(tanh(z), 6) + 0.0 AS tanh FROM z")(lambda spark, d: rounded(_z(spark, d).select("l_orderkey", "l_linenumber", *[V.activation(a, F.col("z")).alias(a) for a in ("relu", "sigmoid", "tanh")])))
 query("softmax", "WITH z AS (SELECT l_orderkey, l_linenumber, exp(l_quantity / 50) AS a, exp(l_discount * 10) AS b, exp(l_tax * 10) AS c FROM lineitem) SELECT l_orderkey, l_linenumber, round(a / (a + b + c), 6) AS p0, round(b / (a + b + c), 6) AS p1, round(c / (a + b + c), 6) AS p2 FROM z")(lambda spark, d: rounded(lines(spark, d).select("l_orderkey", "l_linenumber", V.softmax(F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 10)).alias("p")).select("l_orderkey", "l_linenumber", *[F.col("p")[i].alias(f"p{i}") for i in range(3)])))
+
+
+# --- bytes, patches, codes, sampling -----------------------------------------------------------------
+
+query("characters", "SELECT p_partkey, unnest(string_split(p_name, '')) AS c FROM part")(lambda spark, d: table(spark, d, "part").select("p_partkey", F.explode(K.characters(F.col("p_name"))).alias("c")))
+query("fixed_patches", "WITH p AS (SELECT p_partkey, hex(encode(p_name)) AS h FROM part) SELECT p_partkey, unnest(list_transform(range(0, (length(h) + 7) // 8), lambda i: lower(substring(h, CAST(8 * i + 1 AS BIGINT), 8)))) AS patch FROM p")(lambda spark, d: table(spark, d, "part").select("p_partkey", F.explode(K.patches(F.col("p_name"), 4)).alias("x")).select("p_partkey", F.array_join(F.transform("x", lambda b: F.lower(F.lpad(F.hex(b), 2, "0"))), "").alias("patch")))
+query("trigram_buckets", "WITH p AS (SELECT DISTINCT p_brand, list_transform(string_split('_' || p_brand || '_', ''), lambda c: CAST(unicode(c) AS BIGINT)) AS u FROM part) SELECT p_brand, unnest(list_sort(list_distinct(list_transform(range(1, len(u) - 1), lambda i: ((u[i] * 1000003 + u[i + 1]) % 4096 * 1000003 + u[i + 2]) % 4096)))) AS bucket FROM p")(lambda spark, d: table(spark, d, "part").select("p_brand").distinct().select("p_brand", F.explode(K.trigram_buckets(F.col("p_brand"), 4096)).alias("bucket")))
+query("scalar_codes", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, CAST(round_even(tanh(v[1]) * 2, 0) + 2 + 5 * (round_even(tanh(v[2]) * 2, 0) + 2) + 25 * (round_even(tanh(v[3]) * 3, 0) + 3) AS BIGINT) AS code FROM e")(lambda spark, d: vectors(spark, d).select("vec_id", K.scalar_codes(F.col("vector"), (5, 5, 7)).alias("code")))
+query("nucleus", "WITH c AS (SELECT l_linestatus AS g, l_linenumber AS t, count(*) / 1000.0 AS z FROM lineitem GROUP BY ALL), e AS (SELECT *, exp(z / 2) / sum(exp(z / 2)) OVER (PARTITION BY g) AS p FROM c), k AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY g ORDER BY p DESC, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM e) SELECT g, t, round(p / sum(p) OVER (PARTITION BY g), 6) AS p FROM k WHERE b < 0.7")(lambda spark, d: rounded(K.nucleus(table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("g"), F.col("l_linenumber").alias("t")).agg((F.count("*") / 1000.0).alias("z")), "g", "t", "z", 2.0, 0.7)))
+query("codebook", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id // 100 AS code, v FROM e WHERE vec_id % 100 = 0 AND vec_id < 500) SELECT e.vec_id, arg_min(c.code, struct_pack(d := list_distance(e.v, c.v), c := c.code)) AS code FROM e, c GROUP BY e.vec_id")(lambda spark, d: _codes(spark, d))
+
+
+def _codes(spark: SparkSession, d: str) -> DataFrame:
+    rows = vectors(spark, d).select("vec_id", "vector")
+    codes = np.array([r["vector"] for r in rows.where("vec_id % 100 = 0 AND vec_id < 500").orderBy("vec_id").collect()])
+    return clustering.assign_to(rows, "vector", codes).select("vec_id", F.col("code").cast("long").alias("code"))
+
+
+# --- learned on bounded tables -----------------------------------------------------------------------
+
+
+def _bench_vocab(spark: SparkSession, d: str) -> DataFrame:
+    return text.vocabulary(text.word_counts(_bench(spark, d), "words"), 2)
+
+
+@query("skip_gram")
+def _skip_gram(spark: SparkSession, d: str) -> DataFrame:
+    vocab = _bench_vocab(spark, d)
+    rows = vocab.orderBy("id").collect()
+    found = word_vectors.skip_gram(text.id_sequences(_bench(spark, d), "item_id", "words", vocab), np.array([r["n"] for r in rows], float), 8, 3, rounds=2)
+    return spark.createDataFrame([(r["word"], [float(v) for v in found[r["id"]]]) for r in rows], "word string, vector array<double>")
+
+
+@query("glove")
+def _glove(spark: SparkSession, d: str) -> DataFrame:
+    vocab = _bench_vocab(spark, d)
+    ids = text.id_sequences(_bench(spark, d), "item_id", "words", vocab)
+    n = vocab.count()
+    found = word_vectors.glove(embeddings.cooccurrences(ids, 3, True), n, 8, 5)
+    return spark.createDataFrame([(r["word"], [float(v) for v in found[r["id"]]]) for r in vocab.collect()], "word string, vector array<double>")
+
+
+query("random_indexing")(lambda spark, d: embeddings.random_index(_co(spark, d), 16, 4))
+
+
+def _nations(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
+    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("a"), F.count("*").alias("n")).orderBy("c_nationkey").collect()
+    x = np.array([[r["c_nationkey"] / 25, r["n"] / 100] for r in rows])
+    return x, np.array([r["a"] / 1000 for r in rows])
+
+
+query("kernel_ridge")(lambda spark, d: (lambda x, y: spark.createDataFrame([(i, float(v)) for i, v in enumerate(kernels.kernel_ridge(x, y, "radial", 0.1, gamma=5.0).decision(x))], "n_nationkey int, prediction double"))(*_nations(spark, d)))
+query("support_vectors")(lambda spark, d: (lambda x, y: spark.createDataFrame([(i, float(v)) for i, v in enumerate(kernels.support_vectors(x, np.where(y > np.median(y), 1.0, -1.0), "radial", 10.0, gamma=5.0).decision(x))], "n_nationkey int, decision double"))(*_nations(spark, d)))
+query("kernel_components")(lambda spark, d: (lambda x, y: spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(decomposition.kernel_components(kernels.KERNELS["radial"](x, x, 5.0), 2)[1])], "n_nationkey int, pc1 double, pc2 double"))(*_nations(spark, d)))
+query("self_organising_map")(lambda spark, d: (lambda x, y: spark.createDataFrame([(i, j, float(v[0]), float(v[1])) for i, row in enumerate(clustering.self_organising_map(x, 3, 2, 20)) for j, v in enumerate(row)], "row int, col int, x double, y double"))(*_nations(spark, d)))
+query("hebbian_components")(lambda spark, d: (lambda x, y: spark.createDataFrame([(i, float(v)) for i, v in enumerate(decomposition.hebbian_components(x, 1, 50)[0])], "feature int, loading double"))(*_nations(spark, d)))
+query("dense_stack")(lambda spark, d: layers.predict(lines(spark, d).select("l_orderkey", "l_linenumber", *X2), layers.Stack([layers.Dense.drawn(2, 4, "tanh", 1), layers.Dense.drawn(4, 1, "identity", 2)]), X2).select("l_orderkey", "l_linenumber", F.round(F.col("output")[0], 6).alias("output")))
+query("learn_morphs")(lambda spark, d: (lambda c: spark.createDataFrame([(w, "+".join(m)) for w, m in subwords.learn_morphs(c, epochs=1).items()], "word string, morphs string"))({r["word"]: r["n"] for r in table(spark, d, "part").select(F.explode(text.pattern(F.lower("p_type"), LETTERS)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}))
+query("picture_corners")(lambda spark, d: _corners(spark, d))
+
+
+def _corners(spark: SparkSession, d: str) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [(int(v), int(r), int(c)) for v, x in zip(batch.column("vec_id").to_pylist(), batch.column("vector").to_pylist(), strict=True) for r, c in features.peaks(features.corners(np.array(x).reshape(8, 8)), 0.0, 3)]
+            yield pa.RecordBatch.from_pydict({"vec_id": [o[0] for o in out], "r": [o[1] for o in out], "c": [o[2] for o in out]}, pa.schema([("vec_id", pa.int64()), ("r", pa.int64()), ("c", pa.int64())]))
+
+    return vectors(spark, d).select("vec_id", "vector").mapInArrow(run, "vec_id long, r long, c long")
