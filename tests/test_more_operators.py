@@ -17,7 +17,7 @@ def test_subwords():
     assert "abab" in subwords.greedy_coverage({"abab": 5, "abc": 3}, 5)
     assert subwords.description_length({"ab": 4}) < subwords.description_length({"ab": 2, "cd": 2})
     assert subwords.learn_morphs({"walks": 9, "walked": 9, "talks": 9, "talked": 9, "walk": 9, "talk": 9})["walks"] != []
-    p = subwords.EntropyPatches.fit(["abababab"] * 20, 5.0, 1)
+    p = subwords.EntropyPatches.fit(["abababab"] * 20, 5.0, 1, 0.01)
     assert b"".join(p.patches("ababx")) == b"ababx" and len(p.patches("abab")) < 4
     assert subwords.paths("cats", {"root": {"cat": ["end", "#"]}, "end": {"s": ["#"]}}, "root") == [["cat", "s"]]
     w = subwords.averaged_perceptron([["ab", "c"], ["c", "ab"], ["ab", "ab"]] * 5, 2, 5)
@@ -107,3 +107,23 @@ def test_token_expressions(spark):
 def test_unicode_words():
     assert text.unicode_words("Don't stop 3.14, please!") == ["Don't", "stop", "3.14", "please"]
     assert text.spans("a  bc") == [("a", 0, 1), ("bc", 3, 5)]
+
+
+def test_pipeline_fits_on_training_rows(spark):
+    from corvane.operators import linear
+    from corvane.operators.scaling import Scaler
+    from corvane.plans.pipeline import Pipeline
+
+    df = spark.createDataFrame([(float(i), 2.0 * i + 1) for i in range(20)], "x double, y double")
+    p = Pipeline([("scale", lambda d: Scaler.fit(d, ["x"]).transform)], lambda d: linear.ordinary(linear.Moments.of(d, ["x"], "y"))).fit(df.where("x < 10"))
+    assert p.predict(df).where("abs(prediction - y) < 1e-6").count() == 20
+
+
+def test_streaming_counts(spark, tmp_path):
+    from corvane import streaming
+
+    spark.createDataFrame([("a b a",), ("b",)], "text string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("text string").parquet(f"{tmp_path}/in").select(F.split("text", " ").alias("w"))
+    q = streaming.word_counts(stream, "w").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {r["word"]: r["n"] for r in spark.table("counts").collect()} == {"a": 2, "b": 2}
