@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import tokens as K
 from corvane.functions import vectors as V
-from corvane.operators import clustering, decomposition, embeddings, evaluation, features, generative, grids, kernels, layers, linear, logistic, neighbours, polynomial, selection, sequences, subwords, text, trees, word_vectors
+from corvane.operators import clustering, decomposition, embeddings, evaluation, features, generative, grids, kernels, layers, linear, logistic, neighbours, polynomial, selection, sequences, subwords, text, trees, word_rules, word_vectors
 from corvane.operators.scaling import Scaler
 from corvane.sources.tables import frame, table
 
@@ -515,3 +515,7 @@ def _corners(spark: SparkSession, d: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"vec_id": [o[0] for o in out], "r": [o[1] for o in out], "c": [o[2] for o in out]}, pa.schema([("vec_id", pa.int64()), ("r", pa.int64()), ("c", pa.int64())]))
 
     return vectors(spark, d).select("vec_id", "vector").mapInArrow(run, "vec_id long, r long, c long")
+
+
+for _name, _rule in (("treebank_words", word_rules.treebank), ("translation_words", word_rules.translation)):
+    query(_name)(lambda spark, d, rule=_rule: word_rules.split(table(spark, d, "benchmark"), "item_id", "text", rule).select("item_id", F.size("words").alias("n"), F.array_join("words.text", " ").alias("words")))

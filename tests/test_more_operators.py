@@ -127,3 +127,18 @@ def test_streaming_counts(spark, tmp_path):
     q = streaming.word_counts(stream, "w").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r["word"]: r["n"] for r in spark.table("counts").collect()} == {"a": 2, "b": 2}
+
+
+def test_word_rules(spark):
+    from corvane.operators import word_rules
+
+    words = lambda s: [w for w, _, _ in s]
+    text = "They'll cannot (maybe) don't pay $3,000.50, Mr. Smith's."
+    got = word_rules.treebank(text, True)
+    assert words(got) == ["They", "'ll", "can", "not", "-LRB-", "maybe", "-RRB-", "do", "n't", "pay", "$", "3,000.50", ",", "Mr.", "Smith", "'s", "."]
+    assert all(text[a:b] == w or w.startswith("-") for w, a, b in got)
+    assert words(word_rules.translation("Mr. Smith's well-known shop, e.g. A&B.", split_hyphens=True, escape=True)) == ["Mr.", "Smith", "&apos;s", "well", "-", "known", "shop", ",", "e.g.", "A", "&amp;", "B", "."]
+    assert words(word_rules.translation("l'eau froide.", "fr")) == ["l'", "eau", "froide", "."]
+    assert words(word_rules.with_exceptions('"don\'t stop!" a-b', ['"'], ['"', "!"], ["-"], {"don't": ["do", "n't"]})) == ['"', "do", "n't", "stop", "!", '"', "a", "-", "b"]
+    out = word_rules.split(spark.createDataFrame([(1, "a b."), (2, None)], "id int, text string"), "id", "text", word_rules.treebank).collect()
+    assert {r["id"]: [w["text"] for w in r["words"]] for r in out} == {1: ["a", "b", "."], 2: []}
