@@ -3,28 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.scratch import few, shared_root
+
 #: ASCII white space as the operators' word rule has it (fixed value): space, \t \n \v \f \r.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
-
-    Only a session without that setting (a test on one machine) gets a folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` removes those not asked to stay.
 
@@ -74,15 +63,6 @@ def parts_for(spark: SparkSession, df: DataFrame, bytes_each: int = 16 << 20) ->
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // bytes_each, 100_000))
 
 
-#: Tables of names up to so many rows are broadcast; larger ones are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
-
-
-def few(df: DataFrame) -> DataFrame:
-    """For a narrow table: broadcast if a count shows few rows, else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def once(value: Column, use) -> Column:
     """``use(value)`` with the value computed once for a row, whatever the optimizer moves where:
     an expression that stands in a lambda function is else computed for each element."""
@@ -97,3 +77,6 @@ def ascii_lower(text: Column) -> Column:
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
+
+
+__all__ = ["Scratch", "ascii_lower", "documents", "few", "once", "parts_for", "words"]
