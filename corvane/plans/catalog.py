@@ -12,7 +12,8 @@ from corvane.functions import tokens as K
 from corvane.functions import vectors as V
 from corvane.operators import clustering, decomposition, embeddings, evaluation, features, generative, grids, kernels, layers, linear, logistic, neighbours, polynomial, selection, sequences, subwords, text, trees, word_rules, word_vectors
 from corvane.operators.scaling import Scaler
-from corvane.sources.tables import frame, table
+from corvane.scratch import written
+from corvane.sources.tables import frame, profile, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -519,3 +520,53 @@ def _corners(spark: SparkSession, d: str) -> DataFrame:
 
 for _name, _rule in (("treebank_words", word_rules.treebank), ("translation_words", word_rules.translation)):
     query(_name)(lambda spark, d, rule=_rule: word_rules.split(table(spark, d, "benchmark"), "item_id", "text", rule).select("item_id", F.size("words").alias("n"), F.array_join("words.text", " ").alias("words")))
+
+
+# --- guards, model selection, language models --------------------------------------------------------
+
+
+@query("profile", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) FILTER (WHERE {c} IS NULL OR isnan({c}) OR isinf({c})) AS bad, min({c}) AS low, max({c}) AS high FROM lineitem" for c in LINE))
+def _profile(spark: SparkSession, d: str) -> DataFrame:
+    found = profile(table(spark, d, "lineitem"), LINE)
+    return spark.createDataFrame([(c, x["n"], x["bad"], x["min"], x["max"]) for c, x in found.items()], "name string, n long, bad long, low double, high double")
+
+
+_LM = "w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark), pd AS (SELECT list_concat(['<s>'], ws, ['</s>']) AS p FROM w), t AS (SELECT unnest(list_transform(range(1, len(p)), lambda i: struct_pack(c := p[i], w := p[i + 1]))) AS g FROM pd), b AS (SELECT g.c AS c, g.w AS w, count(*) AS n FROM t GROUP BY ALL), v AS (SELECT count(DISTINCT w) AS v FROM b), q AS (SELECT c, w, n, ln((n + 1) / (sum(n) OVER (PARTITION BY c) + v)) AS lp FROM b, v)"
+
+
+@query("language_model_evaluation", f"WITH {_LM} SELECT round(-sum(n * lp) / (sum(n) * ln(2)), 6) AS cross_entropy, round(exp(-sum(n * lp) / sum(n)), 4) AS perplexity, 0.0 AS unknown_share FROM q")
+def _lm(spark: SparkSession, d: str) -> DataFrame:
+    rows = _bench(spark, d)
+    p = sequences.bigram_probabilities(sequences.gram_counts(rows, "words", 2), 1.0)
+    tokens = rows.select(F.explode(sequences.grams(sequences.padded(F.col("words"), 2), 2)).alias("g")).select(F.col("g")[0].alias("context"), F.col("g")[1].alias("word"))
+    scored = tokens.join(p, ["context", "word"], "left").select(F.log("p").alias("lp"), F.col("p").isNull().alias("unknown"))
+    out = evaluation.language_model(scored, "lp", "unknown")
+    return out.select(F.round("cross_entropy", 6).alias("cross_entropy"), F.round("perplexity", 4).alias("perplexity"), "unknown_share")
+
+
+query("overlap_retrieval", f"WITH {_B}, s AS (SELECT item_id, sum(n * CASE word WHEN 'the' THEN 2 WHEN 'of' THEN 1 ELSE 0 END) / (sqrt(sum(n * n)) * sqrt(5)) AS score FROM tc GROUP BY item_id) SELECT item_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY score DESC, item_id LIMIT 10")(lambda spark, d: rounded(embeddings.overlap_retrieval(_bench(spark, d), "item_id", "words", ["the", "of", "the"], 10)))
+
+
+def _priced(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") / 1000).alias("x1"), (F.col("o_orderkey") / 1000).alias("x2"), (F.col("o_totalprice") / 1000).alias("y"))
+    return written(selection.k_fold(rows, "o_orderkey", 3, 7), "folds")
+
+
+def _r2(model, df: DataFrame) -> float:
+    return float(evaluation.regression(model.predict(df), "y", "prediction").first()["r2"])
+
+
+query("cross_validation")(lambda spark, d: spark.createDataFrame([(i, s) for i, s in enumerate(selection.cross_validate(_priced(spark, d), 3, lambda r: linear.ordinary(linear.Moments.of(r, X, "y")), _r2))], "fold int, r2 double"))
+query("grid_search")(lambda spark, d: spark.createDataFrame([(i, float(c["penalty"]), s) for i, (s, c) in enumerate(selection.grid_search(_priced(spark, d), 3, selection.candidates(penalty=[0.0, 10.0, 1000.0]), lambda r, penalty: linear.ridge(linear.Moments.of(r, X, "y"), penalty), _r2))], "place int, penalty double, mean_r2 double"))
+query("out_of_bag")(lambda spark, d: (lambda rows: trees.out_of_bag(trees.forest(rows, "key", T, "k", 2, n_classes=2, max_depth=1), rows, "key").groupBy("prediction").agg(F.count("*").alias("n")))(_tree_rows(spark, d)))
+query("permutation_importance")(lambda spark, d: (lambda rows, model: spark.createDataFrame(list(trees.permutation_importance(rows, "key", T, lambda r: _r2(model, r)).items()), "feature string, importance double"))(_tree_rows(spark, d), linear.ordinary(linear.Moments.of(_tree_rows(spark, d), T, "y"))))
+
+
+@query("smooth_inverse_frequency")
+def _sif(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as weighted means of their words' random-index vectors, less the first direction."""
+    rows = _bench(spark, d)
+    vectors_ = embeddings.random_index(_co(spark, d), 16, 4).withColumnRenamed("a", "word")
+    weights = embeddings.inverse_frequency_weights(text.word_counts(rows, "words"))
+    terms = embeddings.term_counts(rows, "item_id", "words").join(weights, "word").withColumn("n", F.col("n") * F.col("weight"))
+    return embeddings.without_first_component(embeddings.pooled(terms, vectors_, "item_id", 16), "item_id", 16)
