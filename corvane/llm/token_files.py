@@ -17,6 +17,7 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,14 +32,19 @@ from tokenizers.pre_tokenizers import ByteLevel
 from corvane.llm.common import parts_for
 from corvane.llm.shingles import mix
 
-#: A cut before a space is a pre-token boundary unless white space stands on both sides of it.
-_UNSURE = re.compile(r"\s (?:\s|\Z)")
+#: In a run of two white-space characters before a word, the first is a pre-token; longer runs, and
+#: those at the end of a text, aren't cut.
+_UNSURE = re.compile(r"\s\s(?:\s|\Z)")
+#: Pieces that are one pre-token: letters of the Latin blocks up to U+024F, or of ASCII alone.
+_ASCII, _LATIN = re.compile(rb" ?[A-Za-z]+"), re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 #: Distinct pieces whose ids a worker remembers; then it starts anew.
 REMEMBERED = 500_000
+#: Rows that are encoded before they leave a worker.
+ROWS = 1000
 #: Bytes of text whose pieces are looked at together, and the longest piece that is hashed.
 AT_ONCE, LONGEST = 4 << 20, 64
-_SPACE, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, np.int8)
-_SPACE[32], _LETTER[65:91], _LETTER[97:123], _MARK[46], _MARK[44] = True, True, True, 1, 2
+_GAP, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, np.int8)
+_GAP[[10, 32]], _LETTER[65:91], _LETTER[97:123], _MARK[46], _MARK[44] = True, True, True, 1, 2
 _POWERS = np.multiply.accumulate(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
 
 
@@ -51,13 +57,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """Encodes texts by their pieces between spaces, each distinct piece once.
+    """Encodes texts by their pieces between spaces and line breaks, each distinct piece once.
 
-    A byte-level pre-tokenizer never joins what a space with a character other than white space
-    beside it divides, so a text's ids are those of its pieces, joined. Pieces are told apart by
-    64-bit hashes, taken over many texts at once; a full stop or comma behind an ASCII letter is a
-    piece of its own. Texts with other spaces, and all texts of other kinds of tokenizers, are
-    encoded whole.
+    A byte-level pre-tokenizer never joins what stands before a space or line break with what
+    follows, where white space runs no longer than two, so a text's ids are those of its pieces,
+    joined. Pieces are told apart by 64-bit hashes, taken over many texts at once; a full stop or
+    comma behind an ASCII letter is a piece of its own. Texts with longer runs, and all texts of
+    other kinds of tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,19 +79,31 @@ class PieceEncoder:
 
     def _new(self, pieces: list[bytes]) -> list[bytes]:
         """A piece of common letters is one pre-token, which the model takes as it is."""
-        texts = [p.decode("utf-8", "surrogatepass") for p in pieces]
-        tokenize, table = self.tokenizer.model.tokenize, self.letters
-        out: list[bytes | None] = [np.asarray([y.id for y in tokenize(p.decode("latin-1").translate(table))], dtype="<u4").tobytes() if x.removeprefix(" ").isalpha() and max(x) < "\u0250" else None for p, x in zip(pieces, texts, strict=True)]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+        tokenize, table, out, rest = self.tokenizer.model.tokenize, self.letters, [], []
+        for i, p in enumerate(pieces):
+            if _ASCII.fullmatch(p):
+                word = "\u0120" + p[1:].decode() if p[0] == 32 else p.decode()
+            elif _LATIN.fullmatch(p.decode("utf-8", "surrogatepass")):
+                word = p.decode("latin-1").translate(table)
+            else:
+                rest.append(i)
+                out.append(b"")
+                continue
+            out.append(array("I", [x.id for x in tokenize(word)]).tobytes())
+        for i, ids in zip(rest, self.whole([pieces[i].decode("utf-8", "surrogatepass") for i in rest]), strict=True):
             out[i] = ids
         return out
 
     def _joined(self, texts: list[bytes]) -> list[bytes]:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(x) for x in texts])
-        first = np.unique(np.concatenate([[0], ends[:-1], np.flatnonzero(_SPACE[raw])]))
-        first = first[first < len(raw)]
+        cut = _GAP[raw]
+        after = np.flatnonzero(raw == 10) + 1
+        after = after[after < len(raw)]
+        cut[after[raw[after] > 32]] = True  # a word behind a line break
+        cut[0] = True
+        cut[ends[:-1][ends[:-1] < len(raw)]] = True
+        first = np.flatnonzero(cut)
         size = np.diff(np.concatenate([first, [len(raw)]]))
         last = first + size - 1
         mark = np.where((size > 1) & _LETTER[raw[np.maximum(last - 1, 0)]], _MARK[raw[last]], 0)
@@ -95,8 +113,12 @@ class PieceEncoder:
         names = mix(np.add.reduceat(values, first) + (size - (mark > 0)).astype(np.uint64))
         long = np.flatnonzero(size > LONGEST)
         names[long] = [hash(raw[first[i] : first[i] + size[i]].tobytes()) & (2**64 - 1) for i in long.tolist()]
-        distinct, at, which = np.unique(names, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        order = np.argsort(names, kind="stable")
+        new = np.concatenate([[True], names[order[1:]] != names[order[:-1]]])
+        at = order[new]
+        which = np.empty(len(names), np.int64)
+        which[order] = np.cumsum(new) - 1
+        keys = names[at].tolist()
         if len(self.known) + len(keys) > REMEMBERED:
             self.known = {}
         found = list(map(self.known.get, keys))
@@ -117,9 +139,9 @@ class PieceEncoder:
         out[np.repeat(begin, own) + step] = pool[np.repeat(offset[which], own) + step]
         marked = mark > 0
         out[(begin + own)[marked]] = pool[len(pool) - 3 + mark[marked].astype(np.int64)]
-        cut = np.concatenate([begin, [len(out)]])[np.searchsorted(first, np.concatenate([[0], ends]))] * 4
+        cuts = np.concatenate([begin, [len(out)]])[np.searchsorted(first, np.concatenate([[0], ends]))] * 4
         flat = out.tobytes()
-        return [flat[i:j] for i, j in itertools.pairwise(cut.tolist())]
+        return [flat[i:j] for i, j in itertools.pairwise(cuts.tolist())]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
@@ -128,7 +150,7 @@ class PieceEncoder:
         for i, x in enumerate(texts):
             if not self.by_piece or _UNSURE.search(x):
                 out[i] = self.whole([x])[0]
-            elif x:
+            elif x:  # an empty text has no pieces
                 some.append(x.encode("utf-8", "surrogatepass"))
                 batch.append(i)
                 size += len(some[-1])
@@ -157,7 +179,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int, key: str = "doc_id"
 
         encode, at, part = encoder(path), 0, TaskContext.get().partitionId()
         tail = np.asarray([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             ids = [x + tail for x in encode(batch.column("text").to_pylist())]
             counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             ends = np.cumsum(counts)
