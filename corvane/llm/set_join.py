@@ -10,8 +10,8 @@ all links. It never lists the pairs of a bucket:
    the same members one. Each makes a tree of its sets' bitmaps; the dual traversal drops pairs that
    can't be similar or are connected. A bucket with more than ``cell_members`` sets is dealt to
    cells, one for each two of its blocks, so that no task gets an unbounded bucket.
-3. What survives is compared exactly, set with set, skipping pairs that links found on the way have
-   connected.
+3. The pairs that survive make families (components), in which each set stands once. A family's sets
+   are compared exactly, again by a tree, skipping pairs that links found on the way have connected.
 """
 
 from __future__ import annotations
@@ -93,7 +93,7 @@ def _tree(labels: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray]) -> tupl
     return order, Tree(np.stack([folded(maps[i], bits) for i in order]), sizes[order], labels[order])
 
 
-def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int, stars: int = 4, cell_members: int = 20_000, exact_members: int = 4_000) -> DataFrame:
+def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int, stars: int = 4, cell_members: int = 20_000, exact_members: int = 3_000) -> DataFrame:
     """Links (a, b). members: (key long, sid long); sets: (sid long, n long, hashes binary: ascending
     little-endian 64-bit values), both written tables."""
     links = None
@@ -133,7 +133,7 @@ def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
         sids, values = cell.column("sid").to_numpy(), _arrays(cell.column("hashes"))
         sizes = np.array([len(x) for x in values], np.int64)
         _, labels = np.unique(cell.column("label").to_numpy(), return_inverse=True)
-        bits = 2 * width(int(sizes.max()))
+        bits = 4 * width(int(sizes.max()))
         order, tree = _tree(labels, sizes, [bitmap(x, bits) for x in values])
         forest, links = Forest(int(labels.max()) + 1), []
         for i, j, most in tree.pairs(num, den):
@@ -149,8 +149,11 @@ def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
     cells = _cells(_once(open_members), cell_members).drop("n").join(maps, "sid")
     left = scratch.table(cells.groupBy("key", "i", "j").applyInArrow(survivors, "key long, i int, j int, part long, sid long, label long"), "survivors")
     scratch.release()
-    parts = left.select(F.xxhash64("key", "i", "j", "part").alias("key"), "sid", "label")
-    some = sets.select("sid", "hashes").join(few(parts.select("sid").distinct()), "sid", "left_semi")
-    cells = _cells(_once(parts), exact_members).drop("n").join(some, "sid")
+    # sets that may be similar, directly or over others, are one family; each is in one, and goes there once
+    families = components(left.select(F.col("part").alias("a"), F.col("sid").alias("b")), scratch, "families")
+    named = left.select("sid", "label").distinct().join(families.select(F.col("id").alias("sid"), F.col("component").alias("key")), "sid")
+    sized = named.join(named.groupBy("key").agg(F.count("*").alias("n")), "key")
+    some = sets.select("sid", "hashes").join(few(scratch.table(named.select("sid"), "family_names")), "sid", "left_semi")
+    cells = _cells(sized, exact_members).drop("n").join(some, "sid")
     last = cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
     return links.union(scratch.table(last, "exact"))
