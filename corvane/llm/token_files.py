@@ -37,8 +37,12 @@ from corvane.llm.shingles import mix
 _UNSURE = re.compile(r"\s\s(?:\s|\Z)")
 #: Pieces that are one pre-token: letters of the Latin blocks up to U+024F, or of ASCII alone.
 _ASCII, _LATIN = re.compile(rb" ?[A-Za-z]+"), re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
-#: Distinct pieces whose ids a worker remembers; then it starts anew.
-REMEMBERED = 500_000
+#: White space besides spaces and line breaks; a text without it needs no search for long runs if it
+#: has none of these pairs.
+_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PAIRS = ("  ", "\n\n", " \n", "\n ")
+#: Distinct pieces whose ids a worker remembers (about 30 bytes each); then it starts anew.
+REMEMBERED = 2_000_000
 #: Rows that are encoded before they leave a worker.
 ROWS = 1000
 #: Bytes of text whose pieces are looked at together, and the longest piece that is hashed.
@@ -69,10 +73,32 @@ class PieceEncoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = t = Tokenizer.from_file(path)
         self.by_piece = type(t.pre_tokenizer) is ByteLevel and not t.pre_tokenizer.add_prefix_space and t.normalizer is None and not any(" " in x.content for x in t.get_added_tokens_decoder().values())
-        self.known: dict[int, bytes] = {}
         self.letters = _byte_letters()
-        self.marks = [b"", *self.whole([".", ","])]
-        self.by_piece &= all(len(x) == 4 for x in self.marks[1:])
+        marks = [np.frombuffer(x, "<u4") for x in self.whole([".", ","])]
+        self.by_piece &= all(len(x) == 1 for x in marks)
+        self.marks = np.array([0, *(x[0] for x in marks)], "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known pieces: ascending hashes, and where in the pool each one's ids stand."""
+        self.keys, self.offset, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 20, "<u4"), 0
+
+    def _learn(self, keys: np.ndarray, place: np.ndarray, ids: list[bytes]) -> None:
+        """Put new pieces in their places of the order."""
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        more = np.frombuffer(b"".join(ids), "<u4")
+        if self.used + len(more) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(more)), "<u4")])
+        self.pool[self.used : self.used + len(more)] = more
+        self.keys = np.insert(self.keys, place, keys)
+        self.offset = np.insert(self.offset, place, self.used + np.cumsum(count) - count)
+        self.count = np.insert(self.count, place, count)
+        self.used += len(more)
+
+    @staticmethod
+    def _unsure(text: str) -> bool:
+        return (any(p in text for p in _PAIRS) or any(c in text for c in _ODD)) and _UNSURE.search(text) is not None
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -118,19 +144,19 @@ class PieceEncoder:
         at = order[new]
         which = np.empty(len(names), np.int64)
         which[order] = np.cumsum(new) - 1
-        keys = names[at].tolist()
-        if len(self.known) + len(keys) > REMEMBERED:
-            self.known = {}
-        found = list(map(self.known.get, keys))
-        missing = [i for i, x in enumerate(found) if x is None]
-        data = raw.tobytes()
-        starts, lengths = first[at].tolist(), (size - (mark > 0))[at].tolist()
-        for i, ids in zip(missing, self._new([data[starts[i] : starts[i] + lengths[i]] for i in missing]), strict=True):
-            found[i] = self.known[keys[i]] = ids
+        keys = names[at]  # ascending
+        if len(self.keys) + len(keys) > REMEMBERED:
+            self._forget()
+        place = np.searchsorted(self.keys, keys)
+        missing = np.ones(len(keys), bool)
+        inside = place < len(self.keys)
+        missing[inside] = self.keys[place[inside]] != keys[inside]
+        if missing.any():
+            data, starts, lengths = raw.tobytes(), first[at[missing]].tolist(), (size - (mark > 0))[at[missing]].tolist()
+            self._learn(keys[missing], place[missing], self._new([data[i : i + n] for i, n in zip(starts, lengths, strict=True)]))
+            place = np.searchsorted(self.keys, keys)
         # every piece's ids, and its mark's, side by side
-        pool = np.frombuffer(b"".join(found) + b"".join(self.marks), "<u4")
-        count = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        offset = np.cumsum(count) - count
+        pool, offset, count = self.pool, self.offset[place], self.count[place]
         own = count[which]
         width = own + (mark > 0)
         begin = np.cumsum(width) - width
@@ -138,7 +164,7 @@ class PieceEncoder:
         step = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
         out[np.repeat(begin, own) + step] = pool[np.repeat(offset[which], own) + step]
         marked = mark > 0
-        out[(begin + own)[marked]] = pool[len(pool) - 3 + mark[marked].astype(np.int64)]
+        out[(begin + own)[marked]] = self.marks[mark[marked]]
         cuts = np.concatenate([begin, [len(out)]])[np.searchsorted(first, np.concatenate([[0], ends]))] * 4
         flat = out.tobytes()
         return [flat[i:j] for i, j in itertools.pairwise(cuts.tolist())]
@@ -148,7 +174,7 @@ class PieceEncoder:
         out: list[bytes] = [b""] * len(texts)
         batch, some, size = [], [], 0
         for i, x in enumerate(texts):
-            if not self.by_piece or _UNSURE.search(x):
+            if not self.by_piece or self._unsure(x):
                 out[i] = self.whole([x])[0]
             elif x:  # an empty text has no pieces
                 some.append(x.encode("utf-8", "surrogatepass"))
