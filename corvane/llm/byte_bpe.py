@@ -25,6 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.common import sliced
+
 
 @lru_cache(maxsize=4)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
@@ -38,21 +40,32 @@ def _packed(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
+def _decoded(codes: tiktoken.Encoding, packed: bytes) -> bytes:
+    return codes.decode_bytes(np.frombuffer(packed, dtype="<u4").tolist())
+
+
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_chars: int = 1 << 16, overlap: int = 1 << 11) -> DataFrame:
     """Rows (key, n_tokens long, ids binary): ids as little-endian unsigned 32-bit integers."""
+    return _encoded(docs, path, pattern, key, text, chunk_chars, overlap, decoded=False)
+
+
+def _encoded(docs: DataFrame, path: str, pattern: str, key: str, text: str, chunk_chars: int, overlap: int, decoded: bool) -> DataFrame:
+    """With ``decoded``, the bytes of the ids stand beside them (data binary)."""
     source = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = source.schema["key"].dataType.simpleString()
     is_long = F.length("text") > chunk_chars
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = encoding(path, pattern).encode_ordinary
-        for batch in batches:
-            ids = [_packed(encode_text(x)) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
+        codes = encoding(path, pattern)
+        for batch in sliced(batches):
+            ids = [_packed(codes.encode_ordinary(x)) for x in batch.column("text").to_pylist()]
+            data = [_decoded(codes, x) if decoded else None for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(ids, pa.binary()), pa.array(data, pa.binary())], ["key", "ids", "data"])
 
-    short = source.where(~is_long).mapInArrow(whole, f"key {kind}, ids binary")
-    long = source.where(is_long).withColumn("row", F.monotonically_increasing_id())
-    return short.unionByName(_encode_long(long, kind, path, pattern, chunk_chars, overlap)).select(F.col("key").alias(key), F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens"), "ids")
+    short = source.where(~is_long).mapInArrow(whole, f"key {kind}, ids binary, data binary")
+    long = _encode_long(source.where(is_long).withColumn("row", F.monotonically_increasing_id()), kind, path, pattern, chunk_chars, overlap, decoded)
+    count = F.expr("cast(octet_length(ids) / 4 as long)").alias("n_tokens")
+    return short.unionByName(long).select(F.col("key").alias(key), count, "ids", *(["data"] if decoded else []))
 
 
 def boundaries(text: str, pattern: regex.Pattern, start: int, stop: int) -> list[int]:
@@ -82,7 +95,7 @@ def cuts(heads: list[set[int]], tails: list[list[int]]) -> list[int]:
     return out
 
 
-def _encode_long(long: DataFrame, kind: str, path: str, pattern: str, chunk_chars: int, overlap: int) -> DataFrame:
+def _encode_long(long: DataFrame, kind: str, path: str, pattern: str, chunk_chars: int, overlap: int, decoded: bool) -> DataFrame:
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, row, text in zip(batch.column("key"), batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -120,13 +133,15 @@ def _encode_long(long: DataFrame, kind: str, path: str, pattern: str, chunk_char
 
     def joined(group: pa.Table) -> pa.Table:
         group = group.sort_by("no")
-        return pa.table({"key": group.column("key").slice(0, 1), "ids": pa.array([b"".join(group.column("ids").to_pylist())], pa.binary())})
+        ids = b"".join(group.column("ids").to_pylist())
+        data = _decoded(encoding(path, pattern), ids) if decoded else None
+        return pa.table({"key": group.column("key").slice(0, 1), "ids": pa.array([ids], pa.binary()), "data": pa.array([data], pa.binary())})
 
     cut = long.mapInArrow(chunks, f"key {kind}, row long, no long, text string").repartition("row", "no")
     marked = cut.mapInArrow(pretokens, f"key {kind}, row long, no long, text string, heads array<long>, tails array<long>")
     stitched = marked.groupBy("row").applyInArrow(stitch, f"key {kind}, row long, no long, text string").repartition("row", "no")
     encoded = stitched.mapInArrow(pieces, f"key {kind}, row long, no long, ids binary")
-    return encoded.groupBy("row").applyInArrow(joined, f"key {kind}, ids binary")
+    return encoded.groupBy("row").applyInArrow(joined, f"key {kind}, ids binary, data binary")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -134,26 +149,15 @@ def decode(tokens: DataFrame, path: str, pattern: str, key: str = "doc_id", ids:
     kind = tokens.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode_ids = encoding(path, pattern).decode_bytes
-        for batch in batches:
-            data = [decode_ids(np.frombuffer(x or b"", dtype="<u4").tolist()) for x in batch.column("ids").to_pylist()]
+        codes = encoding(path, pattern)
+        for batch in sliced(batches):
+            data = [_decoded(codes, x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(data, pa.binary())], ["key", "data"])
 
     return tokens.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, data binary").withColumnRenamed("key", key)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", **sizes: int) -> DataFrame:
-    """Rows (key, n_tokens, ids, data): each text's ids and the bytes that they decode to.
-
-    Decoding is a pass over the encoded rows, so no join is needed to have both side by side.
-    """
-    encoded = encode(docs, path, pattern, key, text, **sizes)
-    kind = encoded.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode_ids = encoding(path, pattern).decode_bytes
-        for batch in batches:
-            data = [decode_ids(np.frombuffer(x, dtype="<u4").tolist()) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], ["key", "n_tokens", "ids", "data"])
-
-    return encoded.withColumnRenamed(key, "key").mapInArrow(run, f"key {kind}, n_tokens long, ids binary, data binary").withColumnRenamed("key", key)
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", chunk_chars: int = 1 << 16, overlap: int = 1 << 11) -> DataFrame:
+    """Rows (key, n_tokens, ids, data): each text's ids and the bytes that they decode to, by the
+    worker that encoded it, so no join and no second pass is needed to have both side by side."""
+    return _encoded(docs, path, pattern, key, text, chunk_chars, overlap, decoded=True)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,13 @@ def once(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a worker's memory doesn't follow the size of Arrow's."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -79,4 +88,4 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP), lambda w: w != "")
 
 
-__all__ = ["Scratch", "ascii_lower", "documents", "few", "once", "parts_for", "words"]
+__all__ = ["Scratch", "ascii_lower", "documents", "few", "once", "parts_for", "sliced", "words"]

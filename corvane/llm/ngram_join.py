@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import Scratch, few
+from corvane.llm.common import Scratch, few, sliced
 from corvane.llm.components import components
 from corvane.llm.set_join import resolve
 from corvane.llm.shingles import mix, set_id, shingle_set
@@ -82,7 +82,7 @@ def classes(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingle_set(x or "", size) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_id(x) for x in sets], pa.int64())], ["key", "n", "sid"])
 

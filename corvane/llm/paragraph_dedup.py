@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.llm.common import Scratch, few
+from corvane.llm.common import Scratch, few, sliced
 from corvane.llm.components import components
 from corvane.llm.set_join import resolve
 from corvane.llm.shingles import mix, rolled, words_of
@@ -121,7 +121,7 @@ def _buckets(docs: DataFrame, text: str, size: int, least_words: int) -> DataFra
 
 def _sets(docs: DataFrame, text: str, size: int, least_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for x in batch.column("text").to_pylist():
                 _, _, first, hashes = paragraph_sets(x or "", size, least_words)
                 if len(first):

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import boosted_trees
+from corvane.llm.common import sliced
 
 BASE = ("email", "ip", "card", "phone")
 #: Patterns of the base kinds (fixed values).
@@ -182,7 +183,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", precision: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, limits = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             found = [all_spans(x or "", model, limits) for x in batch.column("text").to_pylist()]
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(BASE))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *counts, pa.array([_joined(b) for b, _ in found], pa.string()), pa.array([_joined(a) for _, a in found], pa.string())], ["key", *[f"n_{k}" for k in BASE], "base", "spans"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, few
+from corvane.llm.common import Scratch, few, sliced
 from corvane.llm.components import components
 from corvane.llm.signature_tree import Forest, Tree, bitmap, folded, width
 
@@ -57,7 +57,7 @@ def _star(members: DataFrame, sets: DataFrame, scratch: Scratch, seed: int, num:
     right = centre_sets.select(F.col("sid").alias("centre"), F.col("hashes").alias("y"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             good = [similar(x, y, num, den) for x, y in zip(_arrays(batch.column("x")), _arrays(batch.column("y")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("centre")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -107,7 +107,7 @@ def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
             return links
 
     def to_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             maps = [bitmap(x, width(len(x))).tobytes() for x in _arrays(batch.column("hashes"))]
             yield pa.RecordBatch.from_arrays([batch.column("sid"), batch.column("n"), pa.array(maps, pa.binary())], ["sid", "n", "map"])
 

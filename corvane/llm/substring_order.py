@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, few
+from corvane.llm.common import Scratch, few, sliced
 from corvane.llm.shingles import mix, powers
 
 GRAM = 24
@@ -89,7 +89,7 @@ def _parse(source: DataFrame, least: int) -> DataFrame:
     """(trigger, phrase, k, th, at, sides): the phrases of each text and their places in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out, keys, counts = [], [], []
             for i, raw in enumerate(_bytes(batch)):
                 for start in range(0, max(len(raw) - least + 1, 0), PART):
