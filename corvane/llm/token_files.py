@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from corvane.llm.common import parts_for
+from corvane.llm.common import parts_for, sliced
 from corvane.llm.shingles import mix
 
 #: In a run of two white-space characters before a word, the first is a pre-token; longer runs, and
@@ -44,9 +44,9 @@ _PAIRS = ("  ", "\n\n", " \n", "\n ")
 #: Distinct pieces whose ids a worker remembers (about 30 bytes each); then it starts anew.
 REMEMBERED = 2_000_000
 #: Rows that are encoded before they leave a worker.
-ROWS = 1000
+ROWS = 500
 #: Bytes of text whose pieces are looked at together, and the longest piece that is hashed.
-AT_ONCE, LONGEST = 4 << 20, 64
+AT_ONCE, LONGEST = 2 << 20, 64
 _GAP, _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, np.int8)
 _GAP[[10, 32]], _LETTER[65:91], _LETTER[97:123], _MARK[46], _MARK[44] = True, True, True, 1, 2
 _POWERS = np.multiply.accumulate(np.full(LONGEST, 0x9E3779B97F4A7C15, np.uint64))
@@ -205,7 +205,7 @@ def write(docs: DataFrame, out: str, path: str, end_id: int, key: str = "doc_id"
 
         encode, at, part = encoder(path), 0, TaskContext.get().partitionId()
         tail = np.asarray([end_id], dtype="<u4").tobytes()
-        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        for batch in sliced(batches, ROWS):
             ids = [x + tail for x in encode(batch.column("text").to_pylist())]
             counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             ends = np.cumsum(counts)
@@ -236,11 +236,11 @@ def checksums(tokens: DataFrame) -> DataFrame:
     kind = tokens.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             lists = batch.column("ids")
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<i4", copy=False)
-            data = memoryview(values.tobytes())
-            sums = [zlib.crc32(data[4 * i : 4 * j]) for i, j in itertools.pairwise(offsets.tolist())]
+            offsets = lists.offsets.to_numpy()
+            data = memoryview(lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype("<i4").tobytes())
+            sums = [zlib.crc32(data[4 * i : 4 * j]) for i, j in itertools.pairwise((offsets - offsets[0]).tolist())]
             counts = np.diff(offsets).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("start"), pa.array(counts), pa.array(sums, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
 
