@@ -23,9 +23,9 @@ STEP = 1 << 16
 
 
 def width(size: int) -> int:
-    """Bits of the bitmap of a set of that size: a power of two, at least four times the size, so
-    that chance adds little to what two bitmaps have in common."""
-    return 64 << max(0, (4 * max(size, 1) - 1).bit_length() - 6)
+    """Bits of the bitmap of a set of that size: a power of two, at least twice the size: what
+    unlike sets have in common by chance stays well under what similar ones need."""
+    return 64 << max(0, (2 * max(size, 1) - 1).bit_length() - 6)
 
 
 def bitmap(hashes: np.ndarray, bits: int) -> np.ndarray:
