@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corvane.llm import byte_bpe, components, decontamination, language_id, ngram_join, paragraph_dedup, pii, quality_rules, secret_scan, shingles, signature_tree, substring_order, token_files
+from corvane.llm import byte_bpe, components, decontamination, language_id, ngram_join, paragraph_dedup, pii, quality_rules, secret_scan, shared_passages, shingles, signature_tree, substring_order, token_files
 from corvane.llm.common import Scratch
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -278,6 +278,31 @@ def test_paragraph_places(spark, docs, texts):
         assert texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["doc_id"]].split("\n")[r["line"]]
 
 
+@pytest.mark.parametrize("hot", [64, 0])
+def test_shared_passages(spark, docs, texts, monkeypatch, hot):
+    monkeypatch.setattr(shared_passages, "HOT", hot)
+    draw = random.Random(7)
+    say = lambda n: [f"日w{draw.randrange(10**6)}" for _ in range(n)]
+    passage = say(54)
+    planted = [" ".join([*say(80), *passage, *say(52)]), " ".join(say(20)) + "\n" + "\n".join(passage).upper() + " " + " ".join(say(60)), " ".join([*say(90), *passage[:49], *say(9)])]
+    rows = [*((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").distinct().collect()), *((1000 + i, t) for i, t in enumerate(planted)), (None, planted[0]), (1000, planted[0])]
+    holders, spots = collections.defaultdict(set), {}
+    for k, t in set(rows):
+        words = [m[0] for m in WORD.finditer(lower(t or ""))]
+        spots[k, t] = [m.span() for m in WORD.finditer(t or "")], [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        for w in spots[k, t][1]:
+            holders[w].add(k)
+    want = set()
+    for (k, _), (spans, found) in spots.items():
+        for removed in (True, False):
+            at = [i for i, w in enumerate(found) if len(holders[w]) > 1 and (k != min(x for x in holders[w] if x is not None)) == removed]
+            cuts = [0, *[i for i in range(1, len(at)) if at[i] - at[i - 1] > 50], len(at)]
+            want |= {(k, spans[at[i]][0], spans[at[j - 1] + 49][1], at[j - 1] + 50 - at[i], removed) for i, j in zip(cuts, cuts[1:], strict=False) if at}
+    found = shared_passages.passages(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "t")).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    assert any(k == 1001 and n == 54 and removed for k, _, _, n, removed in want) and not any(k == 1002 for k, *_ in want)
+
+
 def test_decontamination(spark, docs, texts):
     items = [(0, " ".join(texts[12].split()[10:40])), (1, "Two words"), (2, None), (3, ""), (4, " ".join([*texts[41].split()[3:25], "other"])), (4, texts[5])]
     bench = spark.createDataFrame(items, "item_id long, text string")
