@@ -11,7 +11,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.errors import EmptyInputError
+from corvane.scratch import written
 from corvane.sources.model_store import persistable
 
 
@@ -205,16 +206,29 @@ def best_segmentation(word: str, log_p: dict[str, float], longest: int = 16, few
     return out[::-1]
 
 
-def learn_unigram(words: dict[str, int], size: int, seed_size: int = 1000, longest: int = 16, shrink: float = 0.75, rounds: int = 2) -> dict[str, float]:
-    """Pieces and log probabilities: from common substrings, EM rounds and pruning to ``size``; letters always stay."""
-    subs: Counter = Counter()
-    for w, n in words.items():
+def expected_pieces(words: Iterable[tuple[str, int]], now: dict[str, float], longest: int = 16) -> Counter:
+    """How often each piece is expected in the words' segmentations, by the words' counts."""
+    expected: Counter = Counter()
+    for w, n in words:
+        a = [0.0] + [-math.inf] * len(w)
+        for j in range(1, len(w) + 1):
+            terms = [a[i] + now[w[i:j]] for i in range(max(0, j - longest), j) if w[i:j] in now]
+            top = max(terms, default=-math.inf)
+            a[j] = top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else top
+        b = [-math.inf] * len(w) + [0.0]
+        for i in range(len(w) - 1, -1, -1):
+            terms = [now[w[i:j]] + b[j] for j in range(i + 1, min(len(w), i + longest) + 1) if w[i:j] in now]
+            top = max(terms, default=-math.inf)
+            b[i] = top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else top
         for i in range(len(w)):
             for j in range(i + 1, min(len(w), i + longest) + 1):
-                subs[w[i:j]] += n
-    letters = {s for s in subs if len(s) == 1}
-    ranked = sorted((s for s in subs if len(s) > 1), key=lambda s: (-subs[s] * len(s), s))[:seed_size]
-    table = {s: float(subs[s]) for s in [*letters, *ranked]}
+                if w[i:j] in now:
+                    expected[w[i:j]] += n * math.exp(a[i] + now[w[i:j]] + b[j] - a[-1])
+    return expected
+
+
+def _pruned(letters: set[str], table: dict[str, float], expect: Callable[[dict[str, float]], dict[str, float]], size: int, shrink: float, rounds: int) -> dict[str, float]:
+    """EM rounds over ``expect`` and pruning to ``size``."""
 
     def logs(t: dict[str, float]) -> dict[str, float]:
         whole = math.log(sum(t.values()))
@@ -223,22 +237,8 @@ def learn_unigram(words: dict[str, int], size: int, seed_size: int = 1000, longe
     now = logs(table)
     while True:
         for _ in range(rounds):
-            expected: Counter = Counter(dict.fromkeys(letters, 1e-3))
-            for w, n in words.items():
-                a = [0.0] + [-math.inf] * len(w)
-                for j in range(1, len(w) + 1):
-                    terms = [a[i] + now[w[i:j]] for i in range(max(0, j - longest), j) if w[i:j] in now]
-                    top = max(terms, default=-math.inf)
-                    a[j] = top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else top
-                b = [-math.inf] * len(w) + [0.0]
-                for i in range(len(w) - 1, -1, -1):
-                    terms = [now[w[i:j]] + b[j] for j in range(i + 1, min(len(w), i + longest) + 1) if w[i:j] in now]
-                    top = max(terms, default=-math.inf)
-                    b[i] = top + math.log(sum(math.exp(t - top) for t in terms)) if top > -math.inf else top
-                for i in range(len(w)):
-                    for j in range(i + 1, min(len(w), i + longest) + 1):
-                        if w[i:j] in now:
-                            expected[w[i:j]] += n * math.exp(a[i] + now[w[i:j]] + b[j] - a[-1])
+            expected = Counter(dict.fromkeys(sorted(letters), 1e-3))
+            expected.update(expect(now))
             now = logs({s: v for s, v in expected.items() if v > 1e-9})
         if len(now) <= size:
             return now
@@ -249,6 +249,41 @@ def learn_unigram(words: dict[str, int], size: int, seed_size: int = 1000, longe
             return now
 
 
+def learn_unigram(words: dict[str, int], size: int, seed_size: int = 1000, longest: int = 16, shrink: float = 0.75, rounds: int = 2) -> dict[str, float]:
+    """Pieces and log probabilities: from common substrings, EM rounds and pruning to ``size``; letters always stay."""
+    subs: Counter = Counter()
+    for w, n in words.items():
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + longest) + 1):
+                subs[w[i:j]] += n
+    letters = {s for s in subs if len(s) == 1}
+    ranked = sorted((s for s in subs if len(s) > 1), key=lambda s: (-subs[s] * len(s), s))[:seed_size]
+    return _pruned(letters, {s: float(subs[s]) for s in [*letters, *ranked]}, lambda now: expected_pieces(words.items(), now, longest), size, shrink, rounds)
+
+
+def learn_unigram_from(counts: DataFrame, size: int, seed_size: int = 1000, longest: int = 16, shrink: float = 0.75, rounds: int = 2) -> dict[str, float]:
+    """``learn_unigram`` from all rows (word, n): substrings are counted and each EM round is summed in
+    Spark; the driver has the letters and ``seed_size`` pieces."""
+    counts = written(counts.where(F.length("word") > 0).select("word", "n"), "unigram_words")
+    cuts = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - i + 1)), lambda k: F.substr("word", i, k)))
+    subs = written(counts.select(F.explode(F.flatten(cuts)).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n")), "unigram_substrings")
+    letters = {r["piece"]: float(r["n"]) for r in subs.where(F.length("piece") == 1).orderBy("piece").collect()}
+    if not letters:
+        raise EmptyInputError("no words to learn from")
+    ranked = subs.where(F.length("piece") > 1).orderBy(F.desc(F.col("n") * F.length("piece")), "piece").limit(seed_size).collect()
+
+    def expect(now: dict[str, float]) -> dict[str, float]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = expected_pieces(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True), now, longest)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], ["piece", "n"])
+
+        sums = counts.mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.round(F.sum("n"), 9).alias("n"))  # whatever the order of the sum
+        return {r["piece"]: r["n"] for r in sums.orderBy("piece").collect()}
+
+    return _pruned(set(letters), letters | {r["piece"]: float(r["n"]) for r in ranked}, expect, size, shrink, rounds)
+
+
 def encode_words(df: DataFrame, key: str, words: str, pieces, name: str = "pieces") -> DataFrame:
     """(key, pieces): ``pieces(word)`` of every word, each distinct word of a batch once."""
     kind = df.schema[key].dataType.simpleString()

@@ -368,8 +368,7 @@ def _encode(spark: SparkSession, d: str) -> DataFrame:
 @query("unigram_pieces")
 def _unigram(spark: SparkSession, d: str) -> DataFrame:
     rows = words_of(spark, d, "benchmark", "item_id")
-    counts = {r["word"]: r["n"] for r in text.word_counts(rows, "words").orderBy(F.desc("n"), "word").limit(300).collect()}
-    table_ = text.learn_unigram(counts, 150, 400, 8)
+    table_ = text.learn_unigram_from(text.word_counts(rows, "words"), 150, 400, 8)
     return text.encode_words(rows, "item_id", "words", lambda w: text.best_segmentation(w, table_) or ["[UNK]"]).select("item_id", F.array_join("pieces", " ").alias("pieces"))
 
 

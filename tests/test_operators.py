@@ -1,6 +1,7 @@
 """Operators against closed forms and small fixtures."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from corvane.errors import CollinearError, ConstantColumnError, DivergedError, L
 from corvane.functions import vectors as V
 from corvane.operators import clustering, decomposition, embeddings, evaluation, generative, layers, linear, logistic, neighbours, polynomial, selection, sequences, text, trees
 from corvane.operators.scaling import Scaler
+from corvane.plans import catalog
 from corvane.sources import model_store, tables
 
 X1, X2 = [1, 1, 2, 0, 3], [1, 2, 2, 1, 0]
@@ -202,6 +204,23 @@ def test_unigram_and_segmentation():
     assert text.viterbi("abc", starts, steps, emit) == ["ab", "c"]
 
 
+def test_unigram_learns_from_all_words(spark):
+    draw = random.Random(3)
+    words = {"".join(draw.choice("abcdefgh") for _ in range(draw.randint(1, 9))): draw.randint(2, 9) for _ in range(400)} | {"qux": 1}
+    counts = spark.createDataFrame(list(words.items()), "word string, n long")
+    found, want = text.learn_unigram_from(counts, 60, 120, 8), text.learn_unigram(words, 60, 120, 8)
+    assert found.keys() == want.keys() and all(abs(found[s] - want[s]) < 1e-6 for s in want)
+    assert text.best_segmentation("qux", found)
+
+
+def test_unigram_query_has_no_unknown_words(spark, tmp_path):
+    letters = "abcdefghijklmnopqrst"
+    common = " ".join(x + y for x in letters for y in letters)
+    spark.createDataFrame([(1, f"{common} {common}"), (2, "wuz")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r["item_id"]: r["pieces"] for r in catalog.QUERIES["unigram_pieces"](spark, str(tmp_path)).collect()}
+    assert found[2].replace(" ", "") == "wuz"
+
+
 def test_embeddings(spark):
     df = spark.createDataFrame([(0, "the cat sat".split()), (1, "the dog sat".split()), (2, "a cat".split())], "doc_id int, words array<string>")
     terms = embeddings.term_counts(df, "doc_id", "words")
