@@ -31,11 +31,16 @@ KINDS = (
     ("pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 1, "-----BEGIN "),
 )
 BASE = 3
+_PEM = "PRIVATE KEY-----"
+#: For redaction, pem is the key with its body, which is the value: to the END line, or else the lines of base64.
+WHOLE = (*KINDS[:-1], ("pem", f"-----BEGIN [A-Z ]{{0,20}}{_PEM}((?:\\s*(?:Proc-Type|DEK-Info):[^\r\n]*){{0,2}}(?:[A-Za-z0-9+/=\\s\\\\]*-----END [A-Z ]{{0,20}}{_PEM}|(?:(?:\\s|\\\\[nr])*+[A-Za-z0-9+/=]{{16,}}+)*+))", 1, 16, "-----BEGIN "))
+#: Kinds whose values redaction judges by ownership alone.
+UNGATED = ("assign", "provider", "pem")
 
 
-def _spans(text: Column, number: int) -> Column:
+def _spans(text: Column, number: int, kinds: tuple = KINDS) -> Column:
     """array<struct<start, kind_no, end, kind, value>> of one kind, in order."""
-    kind, pattern, group, least, needs = KINDS[number]
+    kind, pattern, group, least, needs = kinds[number]
     rx = F.lit(pattern)
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,value:string>>")
 
@@ -82,15 +87,16 @@ def ownership(candidates: DataFrame, max_owners: int = 2) -> DataFrame:
     return out.withColumn("copied", F.col("n_owners") > max_owners)
 
 
-def scan(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", repository: str = "source", max_owners: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", repository: str = "source", max_owners: int = 2, keep: tuple[str, ...] = (), kinds: tuple = KINDS, ungated: tuple[str, ...] = ()) -> DataFrame:
     """A row for each row of ``docs``: key, spans (start, kind_no, end, kind, hash) in order, live and
     copied (the numbers of the spans in ``spans`` judged so), and the columns of ``keep``.
 
-    The owner is the part of the repository's name before the first slash.
+    The owner is the part of the repository's name before the first slash. Values of the kinds in
+    ``ungated`` are live by ownership alone.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = F.array_sort(F.flatten(F.array(*[_spans(whole, i) for i in range(len(KINDS))])))
-    hashed = F.transform(found, lambda x: F.struct(x["start"], x["kind_no"], x["end"], x["kind"], F.xxhash64(x["value"]).alias("hash"), _varied(x["value"]).alias("varied")))
+    found = F.array_sort(F.flatten(F.array(*[_spans(whole, i, kinds) for i in range(len(kinds))])))
+    hashed = F.transform(found, lambda x: F.struct(x["start"], x["kind_no"], x["end"], x["kind"], F.xxhash64(F.when((x["kind"] == "pem") & F.lit(kinds is WHOLE), F.regexp_replace(x["value"], "-----END.*|\\s|\\\\[nr]", "")).otherwise(x["value"])).alias("hash"), (_varied(x["value"]) | x["kind"].isin(*ungated) if ungated else _varied(x["value"])).alias("varied")))
     table = scratch.table(docs.select(F.col(key).alias("key"), F.col(repository).cast("string").alias("repository"), *[F.col(c).alias(f"kept_{c}") for c in keep], hashed.alias("spans")).withColumn("row", F.monotonically_increasing_id()), "secret_spans")
     owner = F.coalesce(F.substring_index("repository", "/", 1), F.lit(""))
     spans = table.where(F.size("spans") > 0).select("row", F.coalesce("repository", F.lit("")).alias("repository"), owner.alias("owner"), F.posexplode("spans").alias("no", "span"))
@@ -118,7 +124,7 @@ def redacted(text: Column, spans: Column, numbers: Column, mark: str = "[SECRET]
 
 def without_live(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", repository: str = "source", n_chars: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs`` with the live-looking spans of the text replaced, and n_chars of what it is then."""
-    found = scan(docs, scratch, key, text, repository, keep=tuple(docs.columns))
+    found = scan(docs, scratch, key, text, repository, keep=tuple(docs.columns), kinds=WHOLE, ungated=UNGATED)
     clean = redacted(F.col(text), F.col("spans"), F.col("live"))
     out = found.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns])
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)).select(docs.columns) if n_chars in docs.columns else out

@@ -194,6 +194,14 @@ def test_secret_ownership_and_redaction(spark):
     assert clean[9]["text"] == "x\n[SECRET] y" and clean[9]["n_chars"] == 12 and clean[0]["text"] == rows[0][1]
 
 
+def test_secret_redaction_of_whole_keys(spark):
+    key = lambda c: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(c * 64 for _ in range(20)) + "\nab==\n-----END RSA PRIVATE KEY-----"
+    texts = [f"a\n{key('Q')}\nz", "a password=CorrectHorseBattery z", "a secret: 8392017465 z", "a " + key("R").split("\nab==")[0] + "\nsome words", *[f"copied {key('S')}"] * 3]
+    df = spark.createDataFrame([(i, t, f"owner{i}/r", 1) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    clean = got(secret_scan.without_live(df, Scratch(spark, "t")))
+    assert [clean[i]["text"] for i in range(7)] == ["a\n[SECRET]\nz", "a [SECRET] z", "a [SECRET] z", "a [SECRET]\nsome words", *texts[4:]]
+
+
 def test_quality_rules(spark, docs, texts):
     out = got(quality_rules.judge(docs, Scratch(spark, "t"), least_group=10))
     for i, t in enumerate(texts):
