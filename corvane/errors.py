@@ -41,3 +41,7 @@ class UndefinedMetricError(CorvaneError):
 
 class StateError(CorvaneError):
     """A Markov state or distribution that isn't defined."""
+
+
+class InvalidParameter(CorvaneError):
+    """A parameter, or a column's type, that the operator has no meaning for."""
