@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,10 @@ from corvane.scratch import few, shared_root
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
 
+#: Spark's switch for removing the shuffle files of a query when it is over, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` removes those not asked to stay.
 
@@ -36,14 +39,14 @@ class Scratch:
     def table(self, df: DataFrame, name: str, stay: bool = False) -> DataFrame:
         """Write ``df`` and read it back. ``stay`` keeps it after ``drop`` (an operator's result)."""
         path = self.path(name, stay)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Let Spark's cleaner remove the shuffle files of plans that were written and aren't needed any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *names: str) -> None:
         """Remove the named tables, or all that were not asked to stay."""
         jvm = self.spark._jvm

@@ -20,7 +20,8 @@ def _checksum(links: DataFrame) -> tuple:
 def _star(links: DataFrame, large: bool) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-    joined = both.join(least, "a")
+    # dealt out once more, so that the join has an exchange on either side and Spark can split a node with very many links
+    joined = both.join(least.repartition("least", "a"), "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:

@@ -89,8 +89,31 @@ def classes(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n long, sid long")
 
 
+def thinned(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
+    """(key, salt, sid). Sets beyond the second of a bucket in these rows need no partner from elsewhere
+    to prove that the bucket is shared: they get a salt, and don't meet in one task."""
+    order = np.argsort(keys, kind="stable")
+    keys, sids = keys[order], sids[order]
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    place = np.arange(len(keys)) - np.repeat(firsts, np.diff(np.append(firsts, len(keys))))
+    salt = np.where(place > 1, 1 + (sids & 63), 0).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(salt), pa.array(sids)], ["key", "salt", "sid"])
+
+
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """(key, sid) of the buckets (key, salt, sid) that two sets or more are in."""
+    of = Window.partitionBy("key", "salt")
+    return buckets.withColumn("low", F.min("sid").over(of)).withColumn("high", F.max("sid").over(of)).where("salt > 0 or low <> high").select("key", "sid").distinct()
+
+
+def holders(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is one of ``first`` of ``wanted``, null included."""
+    names = few(wanted.select("first").distinct())
+    return docs.join(names, docs[key].eqNullSafe(names["first"]), "left_semi")
+
+
 def _buckets(docs: DataFrame, text: str, size: int, num: int, den: int) -> DataFrame:
-    """(key, sid): the buckets of every set, without most repeats."""
+    """(key, salt, sid): the buckets of every set, without most repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -108,9 +131,9 @@ def _buckets(docs: DataFrame, text: str, size: int, num: int, den: int) -> DataF
                     sids.append(sid)
                     counts.append(len(keys[-1]))
                 if sum(counts):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(sids, np.int64), counts))], ["key", "sid"])
+                    yield thinned(np.concatenate(keys).view(np.int64), np.repeat(np.array(sids, np.int64), counts))
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, sid long")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "key long, salt int, sid long")
 
 
 def _sets(docs: DataFrame, text: str, size: int) -> DataFrame:
@@ -130,16 +153,11 @@ def join(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     """
     rows = scratch.table(classes(docs, key, text, size), "classes")
     named = rows.where("sid <> 0").groupBy("sid").agg(F.min("key").alias("first"))
-    bucket = Window.partitionBy("key")
-    shared = _buckets(docs, text, size, num, den).withColumn("low", F.min("sid").over(bucket)).withColumn("high", F.max("sid").over(bucket)).where("low <> high")
-    members = scratch.table(shared.select("key", "sid").distinct(), "members")
-    scratch.release()
+    members = scratch.table(shared_buckets(_buckets(docs, text, size, num, den)), "members")
     wanted = scratch.table(members.select("sid").distinct().join(named, "sid").select("sid", "first"), "wanted")
-    some = docs.select(key, text).join(few(wanted.select(F.col("first").alias(key)).distinct()), key, "left_semi")
+    some = holders(docs.select(key, text), key, wanted)
     sets = scratch.table(_sets(some, text, size).join(few(wanted.select("sid")), "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-    scratch.release()
     links = resolve(members, sets, scratch, num, den)
-    scratch.release()
     found = components(links, scratch, "links").select(F.col("id").alias("sid"), "component")
     groups = named.join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = groups.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import Scratch, few, sliced
@@ -78,11 +78,10 @@ def _once(members: DataFrame) -> DataFrame:
     return members.join(of.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "key")
 
 
-def _cells(members: DataFrame, cell_members: int) -> DataFrame:
-    """(key, i, j, ...): a row for each cell of its bucket that a member has to be in."""
-    blocks = F.ceil(F.col("n") / cell_members).cast("int")
+def _cells(members: DataFrame, blocks: Column) -> DataFrame:
+    """(key, i, j, ...): a row for each cell of its bucket of so many blocks that a member has to be in."""
     own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
-    cells = members.withColumn("blocks", blocks).withColumn("own", own.cast("int"))
+    cells = members.withColumn("blocks", blocks.cast("int")).withColumn("own", own.cast("int"))
     return cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("own", "other", "blocks")
 
 
@@ -93,18 +92,20 @@ def _tree(labels: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray]) -> tupl
     return order, Tree(np.stack([folded(maps[i], bits) for i in order]), sizes[order], labels[order])
 
 
-def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int, stars: int = 4, cell_members: int = 20_000, exact_members: int = 3_000) -> DataFrame:
+def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int, stars: int = 4, worth: float = 0.5, cell_members: int = 20_000, exact_members: int = 400, exact_bytes: int = 16 << 20) -> DataFrame:
     """Links (a, b). members: (key long, sid long); sets: (sid long, n long, hashes binary: ascending
     little-endian 64-bit values), both written tables."""
     links = None
-    open_members = members.select("key", "sid", F.col("sid").alias("label"))
+    open_members, before = members.select("key", "sid", F.col("sid").alias("label")), members.count()
     for i in range(stars):
         found = scratch.table(_star(open_members, sets, scratch, i, num, den), f"star_{i}")
-        scratch.release()
         links = found if links is None else links.union(found)
         open_members = scratch.table(_labelled(open_members, links, scratch, f"after_star_{i}"), f"open_{i}")
-        if not open_members.limit(1).count():
-            return links
+        scratch.drop(f"pairs_{i}", *([f"open_{i - 1}"] if i else []))
+        left = open_members.count()
+        if left > worth * before:  # what is open now is mostly unlike; another star would connect little
+            break
+        before = left
 
     def to_bitmap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -146,14 +147,15 @@ def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
     maps = sets.join(few(open_members.select("sid").distinct()), "sid", "left_semi").select("sid", "n", "hashes").mapInArrow(to_bitmap, "sid long, size long, map binary")
-    cells = _cells(_once(open_members), cell_members).drop("n").join(maps, "sid")
+    cells = _cells(_once(open_members), F.ceil(F.col("n") / cell_members)).drop("n").join(maps, "sid")
     left = scratch.table(cells.groupBy("key", "i", "j").applyInArrow(survivors, "key long, i int, j int, part long, sid long, label long"), "survivors")
-    scratch.release()
     # sets that may be similar, directly or over others, are one family; each is in one, and goes there once
     families = components(left.select(F.col("part").alias("a"), F.col("sid").alias("b")), scratch, "families")
     named = left.select("sid", "label").distinct().join(families.select(F.col("id").alias("sid"), F.col("component").alias("key")), "sid")
-    sized = named.join(named.groupBy("key").agg(F.count("*").alias("n")), "key")
-    some = sets.select("sid", "hashes").join(few(scratch.table(named.select("sid"), "family_names")), "sid", "left_semi")
-    cells = _cells(sized, exact_members).drop("n").join(some, "sid")
+    names = scratch.table(named, "family_names")
+    some = sets.select("sid", "n", "hashes").join(few(names.select("sid")), "sid", "left_semi")
+    sized = names.join(some.select("sid", "n"), "sid")
+    of = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / exact_members), F.ceil(F.sum("n") * 8 / exact_bytes)).alias("parts"))
+    cells = _cells(names.join(of, "key"), F.col("parts")).drop("parts").join(some.drop("n"), "sid")
     last = cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
     return links.union(scratch.table(last, "exact"))
