@@ -43,7 +43,7 @@ a AS (SELECT rid, {_COUNTS}, string_agg(kind || ':' || CAST(b AS BIGINT) || ':'
 SELECT doc_id, {', '.join(f'coalesce(n_{KINDS[i][0]}, 0) AS n_{KINDS[i][0]}' for i in range(BASE))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN a USING (rid)
 """
 
-OP6 = f"""
+OP6_LINES = f"""
 WITH RECURSIVE q AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS l FROM q),
 v AS (SELECT doc_id, line, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, length(l) AS n, {_WORDS.format(text='l')} AS ws FROM u),
@@ -54,9 +54,27 @@ l AS (SELECT x, y FROM p JOIN g gx ON gx.id = x JOIN g gy ON gy.id = y WHERE 100
 e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
 r(id, reach) AS (SELECT x, x FROM e UNION SELECT r.id, e.y FROM r JOIN e ON r.reach = e.x),
 k AS (SELECT id, min(reach) AS first FROM r GROUP BY id)
-SELECT g.doc_id, g.line, g."start", g."end", g.n_words, f.doc_id AS class_doc_id, f.line AS class_line, g.id <> f.id AS removed FROM k JOIN g USING (id) JOIN g f ON f.id = k.first
+SELECT g.doc_id, 'line' AS kind, g.line, g."start", g."end", g.n_words, f.doc_id AS class_doc_id, f.line AS class_line, g.id <> f.id AS removed FROM k JOIN g USING (id) JOIN g f ON f.id = k.first
 """
 
+#: Passages: words with their places, windows of 50 words, the least document of each, and runs of windows.
+_GAP = "[\\x20\\x09-\\x0D]+"
+OP6_PASSAGES = f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM (SELECT DISTINCT doc_id, text FROM documents)),
+c AS (SELECT rid, doc_id, unnest(string_split_regex(t, '{_GAP}')) AS word, unnest(list_concat([''], regexp_extract_all(t, '{_GAP}'))) AS gap, unnest(range(len(regexp_extract_all(t, '{_GAP}')) + 1)) AS i FROM t),
+p AS (SELECT rid, doc_id, word, i, sum(length(gap) + length(word)) OVER (PARTITION BY rid ORDER BY i) AS e FROM c),
+w AS (SELECT rid, word, e - length(word) AS b, e, row_number() OVER (PARTITION BY rid ORDER BY i) AS at FROM p WHERE word <> ''),
+l AS (SELECT rid, doc_id, {_WORDS.format(text='t')} AS ws FROM t),
+x AS (SELECT rid, doc_id, unnest(range(1, len(ws) - 48)) AS at, unnest(list_transform(range(1, len(ws) - 48), lambda i: array_to_string(ws[i:i + 49], ' '))) AS win FROM l WHERE len(ws) >= 50),
+o AS (SELECT win, min(doc_id) AS first FROM x GROUP BY win HAVING min(doc_id) <> max(doc_id)),
+j AS (SELECT rid, doc_id, at, first, doc_id <> first AS removed FROM x JOIN o USING (win)),
+k AS (SELECT *, coalesce(CAST(at - lag(at) OVER (PARTITION BY rid, removed ORDER BY at) > 50 AS INT), 1) AS begins FROM j),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY rid, removed ORDER BY at) AS run FROM k),
+m AS (SELECT rid, doc_id, removed, min(at) AS a, max(at) + 49 AS z, min(first) AS first FROM r GROUP BY rid, doc_id, removed, run)
+SELECT m.doc_id, 'passage' AS kind, CAST(NULL AS BIGINT) AS line, CAST(f.b AS BIGINT) AS "start", CAST(g.e AS BIGINT) AS "end", z - a + 1 AS n_words, first AS class_doc_id, CAST(NULL AS BIGINT) AS class_line, removed FROM m JOIN w f ON f.rid = m.rid AND f.at = m.a JOIN w g ON g.rid = m.rid AND g.at = m.z
+"""
+OP6 = f"SELECT * FROM ({OP6_LINES}) UNION ALL SELECT * FROM ({OP6_PASSAGES})"
+
 OP8 = f"""
 WITH a AS (SELECT DISTINCT doc_id, {_WORDS.format(text='text')} AS ws FROM documents),
 b AS (SELECT DISTINCT item_id, {_WORDS.format(text='text')} AS ws FROM benchmark),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import byte_bpe, decontamination, language_id, ngram_join, oracles, paragraph_dedup, pii, quality_rules, secret_scan, shared_passages, substring_order, token_files
+from corvane.llm import byte_bpe, decontamination, language_id, ngram_join, oracles, paragraph_dedup, pii, quality_rules, secret_scan, substring_order, token_files
 from corvane.llm.common import Scratch, documents
 
 
@@ -47,14 +47,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paragraph_dedup.classes(documents(spark, sf_dir), Scratch(spark, "op6"))
+    found = paragraph_dedup.repeats(documents(spark, sf_dir), Scratch(spark, "op6"))
     return found.withColumnRenamed("class_key", "class_doc_id")
 
 
-def op6_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_passages.passages(documents(spark, sf_dir), Scratch(spark, "op6_passages"))
-
-
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Scratch(spark, "op7").path("tokens", stay=True)
     token_files.write(documents(spark, sf_dir), out, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -84,7 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_paragraph_dedup": op6_paragraph_dedup,
-    "op6_shared_passages": op6_shared_passages,
     "op7_token_files": op7_token_files,
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,

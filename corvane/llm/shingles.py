@@ -6,7 +6,12 @@ words, or all words where there are fewer. Words and shingles stand as 64-bit ha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
@@ -81,6 +86,44 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
+@dataclass
+class Batch:
+    """Several texts at once. raw: their bytes, each text ended by a line feed; words and starts: the words'
+    hashes and first bytes; doc: the number of the text that a word is in; edges: each text's first byte."""
+
+    raw: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+    doc: np.ndarray
+    edges: np.ndarray
+
+    @property
+    def first_word(self) -> np.ndarray:
+        return np.searchsorted(self.starts, self.edges)
+
+    def points(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end code point, in their text, of the runs from the words ``first`` to ``last``."""
+        gaps = np.flatnonzero(_GAP[self.raw])
+        points = np.concatenate([[0], np.cumsum((self.raw & 0xC0) != 0x80)])
+        base = points[self.edges[self.doc[first]]]
+        return points[self.starts[first]] - base, points[gaps[np.searchsorted(gaps, self.starts[last])]] - base
+
+
+def batches_of(batches: Iterator[pa.RecordBatch], most: int = PIECE) -> Iterator[tuple[pa.RecordBatch, Batch]]:
+    """The rows, by column text, in slices of about ``most`` bytes (a longer text by itself)."""
+    for batch in batches:
+        text = pc.binary_join_element_wise(pc.fill_null(batch.column("text"), ""), "", "\n")
+        offsets = np.frombuffer(text.buffers()[1], np.int32 if pa.types.is_string(text.type) else np.int64)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        data, at = np.frombuffer(text.buffers()[2] or b"", np.uint8), 0
+        while at < len(text):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            raw = data[offsets[at] : offsets[end]]
+            edges = offsets[at:end] - offsets[at]
+            words, starts = words_of(raw)
+            yield batch.slice(at, end - at), Batch(raw, words, starts, np.searchsorted(edges, starts, "right") - 1, edges)
+            at = end
+
+
 def word_hashes(text: str) -> np.ndarray:
     """The hashes of the words, in order."""
     return words_of(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))[0]
