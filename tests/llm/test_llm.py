@@ -104,6 +104,30 @@ def test_ngram_join_cells_of_a_hot_bucket(spark, docs, texts, monkeypatch):
     assert [out[i]["component_id"] for i in range(len(texts))] == linked([grams(t, 4) for t in texts], 85, 100)
 
 
+def test_ngram_join_over_null_keys(spark):
+    """Sets that only rows with a null key hold link others, and null keys stay unnamed."""
+    draw = random.Random(4)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    near = lambda n, front=0: " ".join([*(f"y{i}" for i in range(front)), *words[front:-n], *(f"z{n}{i}" for i in range(n))])
+    rows = [(5, near(4)), (None, near(8)), (9, near(8, 4)), (None, near(8)), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r["doc_id"], r["component_id"]) for r in ngram_join.join(df, Scratch(spark, "t")).collect()), key=str)
+    sets = [grams(t, 4) for _, t in rows]
+    assert linked(sets, 85, 100) == [0, 0, 0, 0, 4] and linked([sets[0], sets[2]], 85, 100) == [0, 1]
+    assert out == sorted([(5, 5), (None, 5), (9, 5), (None, 5), (None, None)], key=str)
+    assert ngram_join.one_of_each(df, Scratch(spark, "t"), size=4, num=85).where("doc_id = 9").count() == 0
+
+
+def test_thinned_buckets(spark):
+    """A bucket that a third of the rows are in keeps all its sets, most of them away from one task."""
+    draw = np.random.default_rng(1)
+    keys, sids = np.where(draw.random(3000) < 0.3, 7, draw.integers(0, 2**40, 3000)), draw.integers(1, 2**60, 3000)
+    batch = ngram_join.thinned(keys, sids)
+    rows = spark.createDataFrame(batch.to_pandas())
+    assert {(r["key"], r["sid"]) for r in ngram_join.shared_buckets(rows).collect()} == {(7, s) for k, s in zip(keys.tolist(), sids.tolist(), strict=True) if k == 7}
+    assert rows.where("key = 7 and salt = 0").count() == 2
+
+
 def test_bucket_keys_meet():
     """Sets at the threshold share a bucket, whatever their sizes."""
     draw = np.random.default_rng(3)
@@ -311,6 +335,21 @@ def test_shared_passages(spark, docs, texts, monkeypatch, hot):
     assert any(k == 1001 and n == 54 and removed for k, _, _, n, removed in want) and not any(k == 1002 for k, *_ in want)
 
 
+def test_repeats_has_lines_and_passages(spark, docs, texts):
+    """A passage inside longer lines, which no comparison of whole lines sees."""
+    draw = random.Random(11)
+    say = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    passage = say(70)
+    rows = [(i, f"{say(60)} {passage} {say(60)}") for i in range(8)] + [(i, say(200)) for i in range(8, 12)] + [(None, passage), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = paragraph_dedup.repeats(df, Scratch(spark, "t")).collect()
+    assert {r["doc_id"] for r in out} == {None, *range(8)} and all(r["kind"] == "passage" for r in out if r["doc_id"] is not None)
+    assert {(r["n_words"], r["class_key"], r["removed"]) for r in out if r["kind"] == "passage"} == {(70, 0, False), (70, 0, True)}
+    both = paragraph_dedup.repeats(docs, Scratch(spark, "t"))
+    columns = ["doc_id", "line", "start", "end", "class_key", "class_line", "removed"]
+    assert sorted(both.where("kind = 'line'").select(columns).collect(), key=str) == sorted(paragraph_dedup.classes(docs, Scratch(spark, "t")).select(columns).collect(), key=str)
+
+
 def test_decontamination(spark, docs, texts):
     items = [(0, " ".join(texts[12].split()[10:40])), (1, "Two words"), (2, None), (3, ""), (4, " ".join([*texts[41].split()[3:25], "other"])), (4, texts[5])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -374,12 +413,57 @@ def test_substring_order(spark, docs, texts, hot, monkeypatch):
         assert (out[i]["n_bytes"], out[i]["n_removed"], out[i]["n_spans"], out[i]["sha"]) == (len(b), sum(cut), runs, hashlib.sha256(kept).hexdigest()), i
 
 
+def stripped(texts, least=100):
+    """(kept bytes, runs) of each text, by definition."""
+    seen, out = set(), []
+    for t in texts:
+        b = (t or "").encode()
+        cut = np.zeros(len(b) + 1, bool)
+        for s in range(len(b) - least + 1):
+            if b[s : s + least] in seen:
+                cut[s : s + least] = True
+            seen.add(b[s : s + least])
+        cut = cut[: len(b)]
+        out.append((bytes(np.frombuffer(b, np.uint8)[~cut]), int((cut & ~np.concatenate([[False], cut])[: len(b)]).sum())))
+    return out
+
+
+def test_suffix_order():
+    draw = np.random.default_rng(2)
+    raw = draw.integers(97, 99, 3000, dtype=np.uint8)
+    raw[2000:2400] = raw[100:500]
+    for least in (25, 100, 128):
+        begin = np.arange(len(raw) - least + 1)
+        order, same = substring_order.suffix_order(raw, begin, least)
+        data = [raw[i : i + least].tobytes() for i in begin]
+        assert [data[i] for i in order] == sorted(data) and same.sum() == len(data) - len(set(data))
+        assert order.tolist() == sorted(range(len(data)), key=lambda i: (data[i], i))
+
+
+def test_substring_order_of_odd_keys_and_parts(spark, monkeypatch):
+    monkeypatch.setattr(substring_order, "PART", 700)
+    draw = random.Random(8)
+    say = lambda n: "".join(draw.choice("abcd é\n") for _ in range(n))
+    shared_text = say(1500)
+    rows = sorted([("b", say(300) + shared_text + say(90)), ("a", say(2500)), ("c", shared_text[40:1400] + say(50) + shared_text[300:900]), ("", "short"), ("é", None)])
+    rows = [(None, shared_text[700:1300] + say(10)), *rows]
+    want = stripped([t for _, t in rows])
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    out = {r["doc_id"]: (bytes(r["kept"]), r["n_spans"]) for r in substring_order.strip(df, Scratch(spark, "t")).collect()}
+    assert [out[k] for k, _ in rows] == want and any(n for _, n in want)
+    with pytest.raises(ValueError, match="neither"):
+        substring_order.strip(df.withColumn("doc_id", F.lit(1.5)), Scratch(spark, "t"))
+    with pytest.raises(ValueError, match="1024"):
+        substring_order.strip(df, Scratch(spark, "t"), least=2000)
+
+
 def test_empty_tables(spark, docs):
     none, scratch = docs.limit(0), lambda: Scratch(spark, "t")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     bench = spark.createDataFrame([], "item_id long, text string")
     for df in (
         ngram_join.join(none, scratch()), secret_scan.scan(none, scratch()), quality_rules.judge(none, scratch()), paragraph_dedup.classes(none, scratch()), pii.find(none),
+        paragraph_dedup.repeats(none, scratch()), shared_passages.passages(none, scratch()), language_id.identified(none, language_id.fit(none)), decontamination.clean(none, bench, scratch()),
         byte_bpe.round_trip(none, path, public_tokenizers.PATTERN), substring_order.strip(none, scratch()), decontamination.contained(none, bench, scratch()), decontamination.contained(docs, bench, scratch()),
     ):
         assert df.count() == 0
