@@ -89,6 +89,22 @@ def softmax(scores: Column) -> Column:
     return F.transform(shifted, lambda e: e / total(shifted))
 
 
+def log_total(scores: Column) -> Column:
+    """log(sum(exp(s))) of an array, the largest taken off first; of nothing but minus infinity, that."""
+    top = F.array_max(scores)
+    return F.when(top == float("-inf"), top).otherwise(top + F.log(total(F.transform(scores, lambda s: F.exp(s - top)))))
+
+
+def normalised(scores: Column) -> Column:
+    """Log scores less their total."""
+    return F.transform(scores, lambda s: s - log_total(scores))
+
+
+def weight_normalised(direction: Column, length: Column) -> Column:
+    """length * direction / |direction|"""
+    return F.transform(direction, lambda x: x * length / norm(direction))
+
+
 def argmax(scores: Column) -> Column:
     """The first position, from 0, of the greatest."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")

@@ -226,3 +226,9 @@ def assign_to(df: DataFrame, vector: str, codes: np.ndarray, name: str = "code")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], [*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)
+
+
+def decoded_from(df: DataFrame, code: str, codes: np.ndarray, name: str = "decoded") -> DataFrame:
+    """The code vector of each row's number; null for a number that isn't one."""
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in np.asarray(codes, float)])
+    return df.withColumn(name, F.when((F.col(code) >= 0) & (F.col(code) < len(codes)), F.get(table, F.col(code))))

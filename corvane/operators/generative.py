@@ -93,3 +93,29 @@ def quadratic_discriminant(df: DataFrame, features: Sequence[str], label: str, s
     own = [(1 - shrinkage) * c * n / (n - 1) + shrinkage * np.eye(len(features)) for c, n in zip(m.product, m.n, strict=True)]
     found = [_inverse(c) for c in own]
     return _from_precision(features, m.n / m.n.sum(), m.mean, [q for q, _ in found], [d for _, d in found])
+
+
+@persistable
+@dataclass
+class DiagonalGaussian:
+    """One Gaussian of independent columns: density of rows, and samples from it."""
+
+    names: list[str]
+    mean: np.ndarray
+    variance: np.ndarray
+
+    @classmethod
+    def of(cls, df: DataFrame, features: Sequence[str], least: float = 1e-12) -> DiagonalGaussian:
+        x = [F.col(c).cast("double") for c in features]
+        row = df.agg(*[F.avg(c) for c in x], *[F.var_pop(c) for c in x]).first()
+        p = len(features)
+        return cls(list(features), np.array(row[:p], float), np.maximum(np.array(row[p:], float), least))
+
+    def log_density(self) -> Column:
+        out = F.lit(float(-0.5 * np.log(2 * math.pi * self.variance).sum()))
+        for c, m, v in zip(self.names, self.mean, self.variance, strict=True):
+            out = out - (F.col(c) - float(m)) * (F.col(c) - float(m)) / float(2 * v)
+        return out
+
+    def sample(self, n: int, seed: int = 0) -> np.ndarray:
+        return np.random.default_rng(seed).normal(self.mean, np.sqrt(self.variance), (n, len(self.names)))

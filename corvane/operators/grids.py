@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.errors import InvalidParameter
+
 #: Gradient kernels for the x direction (fixed values); y is the transpose.
 KERNELS = {"sobel": [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], "prewitt": [[-1, 0, 1], [-1, 0, 1], [-1, 0, 1]], "scharr": [[-3, 0, 3], [-10, 0, 10], [-3, 0, 3]]}
 
@@ -20,8 +22,11 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 def correlate(grid: DataFrame, weights: Sequence[Sequence[float]], edge: str = "extend") -> DataFrame:
     """Each cell gives its value to the cells whose stencil covers it; sums by cell.
 
-    edge: extend (a cell beyond the border has the nearest one's value), zero or valid (inner cells only).
+    edge: extend (a cell beyond the border has the nearest one's value), wrap (the one at the opposite
+    border's side), zero or valid (inner cells only).
     """
+    if edge not in ("extend", "wrap", "zero", "valid"):
+        raise InvalidParameter(f"edge: {edge}")
     h, w = len(weights), len(weights[0])
     size = grid.groupBy("picture").agg(F.max("r").alias("hr"), F.max("c").alias("wc"))
     taps = F.array(*[F.struct(F.lit(i - h // 2).alias("dr"), F.lit(j - w // 2).alias("dc"), F.lit(float(weights[i][j])).alias("k")) for i in range(h) for j in range(w)])
@@ -30,8 +35,10 @@ def correlate(grid: DataFrame, weights: Sequence[Sequence[float]], edge: str = "
     inside = (row >= 0) & (row <= F.col("hr")) & (col >= 0) & (col <= F.col("wc"))
     if edge == "extend":
         row, col = F.least(F.greatest(row, F.lit(0)), F.col("hr")), F.least(F.greatest(col, F.lit(0)), F.col("wc"))
+    elif edge == "wrap":
+        row, col = F.pmod(row, F.col("hr") + 1), F.pmod(col, F.col("wc") + 1)
     wanted = cells.select("picture", "r", "c", row.alias("sr"), col.alias("sc"), F.col("t.k").alias("k"), inside.alias("inside"))
-    if edge != "extend":
+    if edge in ("zero", "valid"):
         wanted = wanted.where("inside")
     values = grid.select("picture", F.col("r").alias("sr"), F.col("c").alias("sc"), "v")
     out = wanted.join(values, ["picture", "sr", "sc"]).groupBy("picture", "r", "c").agg(F.sum(F.col("k") * F.col("v")).alias("v"), F.count("*").alias("n"))
@@ -105,3 +112,41 @@ def similarity_transform(pairs: DataFrame) -> DataFrame:
     s = pairs.agg(*[F.avg(c).alias(c) for c in ("x", "y", "u", "v")], F.covar_pop("x", "u").alias("xu"), F.covar_pop("y", "v").alias("yv"), F.covar_pop("x", "v").alias("xv"), F.covar_pop("y", "u").alias("yu"), (F.var_pop("x") + F.var_pop("y")).alias("var"))
     a, b = (F.col("xu") + F.col("yv")) / F.col("var"), (F.col("xv") - F.col("yu")) / F.col("var")
     return s.select(F.sqrt(a * a + b * b).alias("scale"), F.atan2(b, a).alias("turn"), (F.col("u") - (a * F.col("x") - b * F.col("y"))).alias("shift_x"), (F.col("v") - (b * F.col("x") + a * F.col("y"))).alias("shift_y"))
+
+
+def _size(grid: DataFrame) -> DataFrame:
+    return grid.groupBy("picture").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+
+
+def scaled_up(grid: DataFrame, factor: int) -> DataFrame:
+    """Every cell becomes a square of factor x factor cells."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(factor) for j in range(factor)])
+    return grid.select("picture", "r", "c", "v", F.explode(steps).alias("x")).select("picture", (F.col("r") * factor + F.col("x.i")).alias("r"), (F.col("c") * factor + F.col("x.j")).alias("c"), "v")
+
+
+def turned(grid: DataFrame) -> DataFrame:
+    """By a right angle, clockwise."""
+    return grid.join(_size(grid), "picture").select("picture", F.col("c").alias("r"), (F.col("h") - 1 - F.col("r")).alias("c"), "v")
+
+
+def placed(grid: DataFrame, top: int, left: int, height: int, width: int, background: float = 0.0) -> DataFrame:
+    """On a larger background; what lies outside of it is cut off."""
+    cells = F.array(*[F.struct(F.lit(i).cast("long").alias("r"), F.lit(j).cast("long").alias("c")) for i in range(height) for j in range(width)])
+    canvas = grid.select("picture").distinct().select("picture", F.explode(cells).alias("x")).select("picture", "x.r", "x.c")
+    at = grid.select("picture", (F.col("r") + top).alias("r"), (F.col("c") + left).alias("c"), "v")
+    return canvas.join(at, ["picture", "r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(float(background))))
+
+
+def mean_absolute_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(picture, difference) over the cells that both have."""
+    both = a.join(b.select("picture", "r", "c", F.col("v").alias("_o")), ["picture", "r", "c"])
+    return both.groupBy("picture").agg(F.avg(F.abs(F.col("v") - F.col("_o"))).alias("difference"))
+
+
+def separation_ratio(scores: DataFrame, rule: str = "difference") -> DataFrame:
+    """(picture, ratio) of a match table: the best score over the next one; a difference's is turned round,
+    and a next score of zero gives null."""
+    order = Window.partitionBy("picture").orderBy("score" if rule == "difference" else F.desc("score"), "r", "c")
+    two = scores.withColumn("_k", F.row_number().over(order)).where("_k <= 2").groupBy("picture").agg(F.max(F.when(F.col("_k") == 1, F.col("score"))).alias("first"), F.max(F.when(F.col("_k") == 2, F.col("score"))).alias("second"))
+    top, bottom = (F.col("second"), F.col("first")) if rule == "difference" else (F.col("first"), F.col("second"))
+    return two.select("picture", F.when(bottom != 0, top / bottom).alias("ratio"))

@@ -8,6 +8,7 @@ summed: a global row number without a global sort.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -15,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows of a bucket of ``ranked``.
+BUCKET = 100_000
+
 
 def shuffle_key(key: str, seed: int = 0) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
@@ -23,10 +27,11 @@ def shuffle_key(key: str, seed: int = 0) -> Column:
 def ranked(df: DataFrame, key: str, seed: int = 0, strata: str | None = None) -> DataFrame:
     """With ``place`` (from 0) and ``n``: in shuffled order, or within strata in the order of strata.
 
-    256 buckets by the hash's first two digits (4,096 by three would do for more rows).
+    Buckets are the hash's first digits: as many as keep a bucket near ``BUCKET`` rows.
     """
+    digits = max(2, math.ceil(math.log(max(df.count(), 1) / BUCKET + 1, 16)))
     order = [F.col(c) for c in ([strata] if strata else [])]
-    marked = df.withColumn("_hash", shuffle_key(key, seed)).withColumn("_bucket", F.substring("_hash", 1, 2))
+    marked = df.withColumn("_hash", shuffle_key(key, seed)).withColumn("_bucket", F.substring("_hash", 1, digits))
     sizes = marked.groupBy(*([strata] if strata else []), "_bucket").agg(F.count("*").alias("_size"))
     before = Window.orderBy(*order, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
@@ -77,3 +82,49 @@ def grid_search(folds: DataFrame, n_folds: int, space: list[dict[str, Any]], fit
         scores = cross_validate(folds, n_folds, lambda df, c=candidate: fit(df, **c), score)
         found.append((sum(scores) / len(scores), candidate))
     return sorted(found, key=lambda x: -x[0])
+
+
+def spread(scores: Sequence[float]) -> tuple[float, float]:
+    """Mean and population deviation of the folds' scores."""
+    mean = sum(scores) / len(scores)
+    return mean, (sum((x - mean) ** 2 for x in scores) / len(scores)) ** 0.5
+
+
+def held_out_predictions(folds: DataFrame, n_folds: int, fit: Callable[[DataFrame], Any]) -> DataFrame:
+    """Every row with the ``prediction`` of the model that was fitted on the other folds."""
+    parts = [fit(folds.where(F.col("fold") != i)).predict(folds.where(F.col("fold") == i)) for i in range(n_folds)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def fold_accuracies(predicted: DataFrame, label: str) -> DataFrame:
+    """(fold, n, accuracy)"""
+    return predicted.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col(label) == F.col("prediction")).cast("double")).alias("accuracy"))
+
+
+def accuracy_spread(predicted: DataFrame, label: str) -> DataFrame:
+    """One row: the mean of the folds' accuracies, their population deviation, and the pooled accuracy."""
+    each = fold_accuracies(predicted, label)
+    return each.agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("accuracy_spread"), (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("pooled_accuracy"))
+
+
+def honest_search(train: DataFrame, test: DataFrame, n_folds: int, space: list[dict[str, Any]], fit: Callable[..., Any], score: Callable[[Any, DataFrame], float]) -> tuple[dict[str, Any], float, float, float]:
+    """(best candidate, mean and deviation of its folds' scores, its score on rows that the search hasn't seen)."""
+    _, best = grid_search(train, n_folds, space, fit, score)[0]
+    mean, deviation = spread(cross_validate(train, n_folds, lambda df: fit(df, **best), score))
+    return best, mean, deviation, score(fit(train, **best), test)
+
+
+def bootstrap(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """With ``times``: how often each row is in a sample of n draws with replacement; the rest have 0.
+
+    Draw i takes the row at the place that the MD5 of i and the seed gives, modulo n.
+    """
+    rows = ranked(df, key, seed)
+    n = df.count()
+    spark = df.sparkSession
+    drawn = spark.range(n).select((F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":draw:{seed}")).cast("binary")), 1, 12), 16, 10).cast("long") % n).alias("place"))
+    times = drawn.groupBy("place").agg(F.count("*").alias("times"))
+    return rows.drop("n").join(times, "place", "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long"))).drop("place")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.errors import StateError
+from corvane.errors import InvalidParameter, StateError
 from corvane.sources.model_store import persistable
 
 START, END, UNKNOWN = "<s>", "</s>", "<unk>"
@@ -101,10 +102,17 @@ def character_grams(word: Column, n: int, start: str = "", end: str = "") -> Col
 
 
 def gram_counts(df: DataFrame, words: str, order: int) -> DataFrame:
-    """(gram array, size, n) of orders 1 to ``order`` over padded sentences; runs that end in a start mark aren't counted."""
+    """(gram array, size, n) of orders 1 to ``order`` over padded sentences; runs that end in a start mark aren't counted.
+
+    Only runs of the full order are counted over the words: each place ends one of them, so the shorter
+    runs' counts are sums over their suffixes.
+    """
     p = df.select(padded(F.col(words), order).alias("_p"))
-    every = p.select(F.explode(F.flatten(F.array(*[grams(F.col("_p"), k) for k in range(1, order + 1)]))).alias("gram"))
-    return every.where(F.element_at("gram", -1) != START).groupBy("gram").agg(F.count("*").alias("n")).withColumn("size", F.size("gram"))
+    shifted = [F.slice("_p", k + 1, F.size("_p") - order + 1).alias(f"w{k}") for k in range(order)]
+    names = [f"w{k}" for k in range(order)]
+    whole = p.select(F.explode(F.arrays_zip(*shifted)).alias("g")).groupBy(*[f"g.{k}" for k in names]).agg(F.count("*").alias("n"))
+    sets = [F.array(*names[order - size :]).alias("gram") for size in range(1, order + 1)]
+    return whole.select(F.explode(F.array(*sets)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n")).withColumn("size", F.size("gram"))
 
 
 def contexts(counts: DataFrame, order: int) -> DataFrame:
@@ -132,12 +140,65 @@ def bigram_probabilities(counts: DataFrame, pretended: float = 0.0) -> DataFrame
     return seen.join(totals, "context").join(F.broadcast(size)).select("context", "word", ((F.col("n") + pretended) / (F.col("total") + pretended * F.col("v"))).alias("p"))
 
 
+def conditional(counts: DataFrame, order: int, pretended: float = 0.0) -> DataFrame:
+    """(context array, word, n, p) of a model of any order: (C(context word) + k) / (C(context) + k V).
+
+    V is the number of different words and end marks; 0 pretended counts are maximum likelihood.
+    """
+    if order < 1 or pretended < 0:
+        raise InvalidParameter(f"order {order} and {pretended} pretended counts")
+    size = counts.where("size = 1").agg(F.count("*").alias("v"))
+    seen = counts.where(F.col("size") == order).select(F.slice("gram", 1, order - 1).alias("context"), F.element_at("gram", -1).alias("word"), "n")
+    totals = seen.groupBy("context").agg(F.sum("n").alias("total"))
+    return seen.join(totals, "context").join(F.broadcast(size)).select("context", "word", "n", ((F.col("n") + pretended) / (F.col("total") + pretended * F.col("v"))).alias("p"))
+
+
+def next_words(model: DataFrame, k: int = 1) -> DataFrame:
+    """(context, word, p, rank): the k most probable words after each context, ties to the lesser word."""
+    order = Window.partitionBy("context").orderBy(F.desc("p"), "word")
+    return model.select("context", "word", "p", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
+
+
+def text_scores(df: DataFrame, key: str, words: str, model: DataFrame, order: int) -> DataFrame:
+    """(key, n, log_probability): every word and the end mark given its context; an unseen run gives minus infinity."""
+    runs = df.select(key, F.explode(grams(padded(F.col(words), order), order)).alias("_g"))
+    steps = runs.select(key, F.slice("_g", 1, order - 1).alias("context"), F.element_at("_g", -1).alias("word"))
+    scored = steps.join(model.select("context", "word", "p"), ["context", "word"], "left")
+    return scored.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.log("p"), F.lit(float("-inf")))).alias("log_probability"))
+
+
+def generate(model: DataFrame, order: int, longest: int = 20, start: Sequence[str] = ()) -> list[str]:
+    """The most probable word after each context, from the start marks or ``start`` on, up to the end mark.
+
+    Each step is one look-up; the text, not the model, comes to the driver.
+    """
+    best = next_words(model).select("context", "word")
+    context, out = ([START] * (order - 1) + list(start))[-(order - 1) :] if order > 1 else [], list(start)
+    while len(out) < longest:
+        row = best.where(F.col("context") == F.array(*[F.lit(w) for w in context]).cast("array<string>")).first()
+        if row is None or row["word"] == END:
+            break
+        out.append(row["word"])
+        context = [*context, row["word"]][1:] if order > 1 else []
+    return out
+
+
 def discounted_returns(df: DataFrame, episode: str, step: str, reward: str, gamma: float) -> DataFrame:
     """With ``discounted``: the sum of gamma^(t - s) * reward over all steps t from s on.
 
-    Each step's own power is taken relative to the first step, so one window sum is enough.
+    By doubling: after round k a step holds the sum over 2^k steps, and adds that of the step 2^k later,
+    discounted by the steps between. Rates under 1 need no more rounds than until their power is zero
+    in a double, whatever the episode's length; all windows share one sort.
     """
-    first = F.min(step).over(Window.partitionBy(episode))
-    t = F.col(step) - first
-    later = Window.partitionBy(episode).orderBy(step).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return df.withColumn("discounted", F.sum(F.col(reward) * F.pow(F.lit(gamma), t)).over(later) / F.pow(F.lit(gamma), t))
+    if not 0 <= gamma <= 1:
+        raise InvalidParameter(f"gamma: {gamma} is not in [0, 1]")
+    if gamma in (0, 1):
+        rounds = 0 if gamma == 0 else math.ceil(math.log2(max(df.groupBy(episode).count().agg(F.max("count")).first()[0] or 1, 2)))
+    else:
+        rounds = math.ceil(math.log2(750 / -math.log(gamma))) + 1
+    of = Window.partitionBy(episode).orderBy(step)
+    out = df.withColumn("discounted", F.col(reward).cast("double"))
+    for k in range(rounds):
+        gap = F.lead(step, 1 << k).over(of) - F.col(step)
+        out = out.withColumn("discounted", F.col("discounted") + F.coalesce(F.pow(F.lit(float(gamma)), gap.cast("double")) * F.lead("discounted", 1 << k).over(of), F.lit(0.0)))
+    return out

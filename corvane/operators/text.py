@@ -62,6 +62,12 @@ def id_sequences(df: DataFrame, key: str, words: str, vocab: DataFrame) -> DataF
     return at.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
 
 
+def decoded(ids: DataFrame, key: str, column: str, vocab: DataFrame) -> DataFrame:
+    """(key, words): the words of the numbers, in order; numbers that aren't in the vocabulary are left out."""
+    at = ids.select(key, F.posexplode(column).alias("pos", "id")).join(vocab.select("word", "id"), "id")
+    return at.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))
+
+
 @persistable
 @dataclass
 class MergeModel:
@@ -166,11 +172,46 @@ def learn_merges(words: dict[str, int], n_merges: int, least: int = 2, likelihoo
 
 
 def learn(counts: DataFrame, n_merges: int, most_words: int = 200_000, **options) -> MergeModel:
-    """From (word, n): the ``most_words`` commonest words are learned from (a stated bound on the driver)."""
-    rows = counts.orderBy(F.desc("n"), "word").limit(most_words).collect()
-    if not rows:
+    """From (word, n), all of them: up to ``most_words`` words on the driver, more by ``learn_spread``."""
+    counts = written(counts.select("word", "n"), "words")
+    n = counts.count()
+    if not n:
         raise EmptyInputError("no words to learn from")
-    return learn_merges({r["word"]: r["n"] for r in rows}, n_merges, **options)
+    if n > most_words:
+        return learn_spread(counts, n_merges, **options)
+    return learn_merges({r["word"]: r["n"] for r in counts.collect()}, n_merges, **options)
+
+
+def learn_spread(counts: DataFrame, n_merges: int, least: int = 2, likelihood: bool = False, mark: str = "</w>", prefix: str = "", keep_every: int = 16) -> MergeModel:
+    """The merges of ``learn_merges`` with the words left in Spark: an aggregation of pairs for each merge.
+
+    A word is a string of symbols between two control characters, so a merge is one replacement; the
+    words are written now and then, which cuts the lineage.
+    """
+    head, tail = "\x01", "\x02"
+    letters = F.filter(F.split("word", ""), lambda c: c != "")
+    last = F.size(letters) - 1
+    symbols = F.transform(letters, lambda c, i: F.concat(F.when(i > 0, prefix).otherwise(""), c, F.when(i == last, mark).otherwise("")))
+    now = written(counts.where(F.length("word") > 0).select(F.concat(F.lit(head), F.array_join(symbols, tail + head), F.lit(tail)).alias("s"), "n"), "spelled")
+    split = lambda df: df.select(F.split(F.expr("substring(s, 2, length(s) - 2)"), tail + head).alias("x"), "n")
+    alphabet = sorted(r["c"] for r in split(now).select(F.explode("x").alias("c")).distinct().collect())
+    merges: list[list[str]] = []
+    while len(merges) < n_merges:
+        pairs = split(now).where(F.size("x") > 1).select(F.explode(F.arrays_zip(F.slice("x", 1, F.size("x") - 1).alias("l"), F.slice("x", 2, F.size("x") - 1).alias("r"))).alias("p"), "n").groupBy("p.l", "p.r").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        if likelihood:
+            single = split(now).select(F.explode("x").alias("c"), "n").groupBy("c").agg(F.sum("n").alias("m"))
+            pairs = pairs.join(single.select(F.col("c").alias("l"), F.col("m").alias("lm")), "l").join(single.select(F.col("c").alias("r"), F.col("m").alias("rm")), "r").withColumn("score", F.col("n") / (F.col("lm") * F.col("rm")))
+        else:
+            pairs = pairs.withColumn("score", F.col("n"))
+        best = pairs.orderBy(F.desc("score"), "l", "r").first()
+        if best is None:
+            break
+        a, b = best["l"], best["r"]
+        merges.append([a, b])
+        now = now.withColumn("s", F.replace("s", F.lit(f"{head}{a}{tail}{head}{b}{tail}"), F.lit(f"{head}{joined(a, b, prefix)}{tail}")))
+        if len(merges) % keep_every == 0:
+            now = written(now, "spelled")
+    return MergeModel(merges, alphabet, mark, prefix)
 
 
 def greedy_pieces(word: str, pieces: set[str], prefix: str = "##", unknown: str = "[UNK]", longest: int = 100) -> list[str]:
