@@ -132,7 +132,9 @@ query("row_order", _SHUFFLED.format(strata="") + " SELECT o_orderkey, place FROM
 query("hold_out", _SHUFFLED.format(strata="") + " SELECT o_orderkey, place >= n - round_even(n * 0.25, 0) AS is_test FROM o")(lambda spark, d: selection.hold_out(_orders(spark, d), "o_orderkey", 0.25, 7).select("o_orderkey", "is_test"))
 query("k_fold", _SHUFFLED.format(strata="") + " SELECT o_orderkey, ntile(7) OVER (ORDER BY place) - 1 AS fold FROM o")(lambda spark, d: selection.k_fold(_orders(spark, d), "o_orderkey", 7, 7).select("o_orderkey", "fold"))
 query("stratified_fold", _SHUFFLED.format(strata="o_orderstatus, ") + " SELECT o_orderkey, place % 5 AS fold FROM o")(lambda spark, d: selection.k_fold(_orders(spark, d), "o_orderkey", 5, 7, "o_orderstatus").select("o_orderkey", "fold"))
-query("missing_classes", "SELECT 0 AS fold, 0 AS missing WHERE false")(lambda spark, d: selection.classes_missing(selection.k_fold(_orders(spark, d), "o_orderkey", 5, 7, "o_orderstatus"), "o_orderstatus"))
+query("missing_classes", "WITH o AS (SELECT o_orderkey % 700 AS k, row_number() OVER (ORDER BY md5(o_orderkey || ':7'), o_orderkey) - 1 AS place FROM orders), f AS (SELECT k, ntile(7) OVER (ORDER BY place) - 1 AS fold FROM o), n AS (SELECT count(DISTINCT k) AS n FROM f) SELECT fold, n - count(DISTINCT k) AS missing FROM f, n GROUP BY fold, n HAVING count(DISTINCT k) < n")(
+    lambda spark, d: selection.classes_missing(selection.k_fold(table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 700).alias("rare")), "o_orderkey", 7, 7), "rare")
+)
 
 # --- regression --------------------------------------------------------------------------------------
 
@@ -312,19 +314,14 @@ query("markov_table", f"WITH {_STEP}, {_TABLE} SELECT s, t, round(p, 6) AS p FRO
 query("markov_score", f"WITH {_STEP}, {_TABLE}, e AS (SELECT user_id, event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS t FROM events) SELECT user_id, round(sum(coalesce(ln(p), 0)), 5) + 0.0 AS log_probability FROM e LEFT JOIN p USING (s, t) GROUP BY user_id")(lambda spark, d: rounded(sequences.log_probabilities(table(spark, d, "events"), sequences.transition_table(_steps(spark, d), 0.5), "user_id", "event_id", "event_type"), 5))
 query("markov_two_steps", f"WITH {_STEP}, {_TABLE} SELECT a.s, b.t, round(sum(a.p * b.p), 6) AS p FROM p a JOIN p b ON a.t = b.s GROUP BY ALL")(lambda spark, d: (lambda c: spark.createDataFrame([(s, t, round(p, 6)) for s in c.states for t, p in c.after(s, 2).items()], "s string, t string, p double"))(sequences.MarkovChain.of(sequences.transition_table(_steps(spark, d), 0.5))))
 query("markov_stationary")(lambda spark, d: spark.createDataFrame(list(sequences.MarkovChain.of(sequences.transition_table(_steps(spark, d), 0.5)).stationary().items()), "state string, p double"))
-query("discounted_returns", "SELECT event_id, round(sum(b.value * pow(0.5, b.i - a.i)), 9) AS discounted FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) a JOIN (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) b ON a.user_id = b.user_id AND b.i >= a.i AND b.i < a.i + 60 GROUP BY event_id")(
-    lambda spark, d: _returns(spark, d)
-)
+query("discounted_returns", "WITH e AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) SELECT a.event_id, round(sum(b.value * pow(0.9, b.i - a.i)), 6) AS discounted FROM e a JOIN e b ON a.user_id = b.user_id AND b.i >= a.i GROUP BY a.event_id")(lambda spark, d: _returns(spark, d))
 
 
 def _returns(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     rows = table(spark, d, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
-    # long episodes are cut, so that powers of the rate stay in range; 60 steps leave 1e-18 of a reward
-    parts = rows.withColumn("block", F.explode(F.array(F.floor(F.col("i") / 60), F.floor(F.col("i") / 60) - 1))).where("block >= 0").withColumn("own", F.floor(F.col("i") / 60) == F.col("block"))
-    out = sequences.discounted_returns(parts.withColumn("episode", F.struct("user_id", "block")), "episode", "i", "value", 0.5)
-    return rounded(out.where("own").select("event_id", "discounted"), 9)
+    return rounded(sequences.discounted_returns(rows, "user_id", "i", "value", 0.9).select("event_id", "discounted"))
 
 
 _W = f"w AS (SELECT doc_id, regexp_extract_all(lower(text), '{LETTERS}') AS ws FROM documents)"

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from corvane.plans.catalog import ORACLE, QUERIES
+from corvane.plans.more import ORACLE, QUERIES
 
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")

@@ -1,6 +1,9 @@
 """Learners on bounded tables, descriptors and layers."""
 
+import math
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.functions import tokens as K
@@ -142,3 +145,82 @@ def test_word_rules(spark):
     assert words(word_rules.with_exceptions('"don\'t stop!" a-b', ['"'], ['"', "!"], ["-"], {"don't": ["do", "n't"]})) == ['"', "do", "n't", "stop", "!", '"', "a", "-", "b"]
     out = word_rules.split(spark.createDataFrame([(1, "a b."), (2, None)], "id int, text string"), "id", "text", word_rules.treebank).collect()
     assert {r["id"]: [w["text"] for w in r["words"]] for r in out} == {1: ["a", "b", "."], 2: []}
+
+
+def test_merges_learned_in_spark(spark, monkeypatch):
+    """The words left in Spark give the merges that the driver finds, ties included."""
+    from corvane.operators import text
+
+    words = {"low": 5, "lower": 2, "newest": 6, "widest": 3, "aaaa": 4, "aa": 1, "banana": 2, "a": 9}
+    df = spark.createDataFrame(list(words.items()), "word string, n long")
+    for options in ({}, {"likelihood": True, "mark": "", "prefix": "##"}):
+        here = text.learn_merges(words, 12, **options)
+        there = text.learn(df, 12, most_words=3, **options)
+        assert there.merges == here.merges and there.alphabet == here.alphabet
+    assert text.learn(df, 12).merges == text.learn_merges(words, 12).merges
+
+
+def test_discounted_returns_of_long_episodes(spark):
+    from corvane.errors import InvalidParameter
+    from corvane.operators import sequences
+
+    n, rewards = 3000, [((i * 37) % 11) / 7 for i in range(3000)]
+    df = spark.createDataFrame([(1, i, r) for i, r in enumerate(rewards)], "e long, i long, r double")
+    for gamma in (0.0, 0.5, 0.97, 0.9999, 1.0):
+        want, after = [0.0] * n, 0.0
+        for i in reversed(range(n)):
+            want[i] = after = rewards[i] + gamma * after
+        out = {r["i"]: r["discounted"] for r in sequences.discounted_returns(df, "e", "i", "r", gamma).collect()}
+        assert all(abs(out[i] - want[i]) <= 1e-9 * max(1, want[i]) for i in range(n))
+    with pytest.raises(InvalidParameter):
+        sequences.discounted_returns(df, "e", "i", "r", 1.5)
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """Several blocks of queries give what one gives; ties go to the lesser row id."""
+    from corvane.operators import neighbours
+
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)], "row_id long, vector array<double>")
+    queries = rows.where("row_id < 20").withColumnRenamed("row_id", "query_id")
+    whole = {m: sorted(map(tuple, neighbours.nearest(queries, rows, 4, m).collect())) for m in neighbours.MEASURES if m != "inner"}
+    near = sorted(map(tuple, neighbours.within(queries, rows, 1.0).collect()))
+    for q in range(20):
+        d = sorted((abs(q % 7 - i % 7) + abs(q % 3 - i % 3), i) for i in range(60))[:4]
+        assert [(r[1], r[2]) for r in sorted((r for r in whole["manhattan"] if r[0] == q), key=lambda r: r[3])] == [(i, float(x)) for x, i in d]
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 200)
+    assert {m: sorted(map(tuple, neighbours.nearest(queries, rows, 4, m).collect())) for m in whole} == whole
+    assert sorted(map(tuple, neighbours.within(queries, rows, 1.0).collect())) == near
+    assert neighbours.nearest(queries.limit(0), rows, 4).count() == 0 and neighbours.nearest(queries, rows.limit(0), 4).count() == 0
+
+
+def test_schedules_and_scores(spark):
+    from corvane.errors import InvalidParameter
+    from corvane.operators import schedules
+
+    down, decay = schedules.LinearDecaySchedule(1.0, 0.2, 4), schedules.ExponentialDecaySchedule(0.5, 0.9)
+    rows = spark.range(8).select("id", down.column(F.col("id")).alias("l"), decay.column(F.col("id")).alias("e")).collect()
+    assert all(abs(r["l"] - down.at(r["id"])) < 1e-12 and abs(r["e"] - decay.at(r["id"])) < 1e-12 for r in rows) and down.at(9) == 0.2
+    with pytest.raises(InvalidParameter):
+        schedules.ConstantSchedule(0.0)
+
+
+def test_language_models_of_higher_order(spark):
+    from corvane.operators import sequences
+
+    df = spark.createDataFrame([(1, ["the", "cat", "sat"]), (2, ["the", "cat", "ran"]), (3, ["the", "cat", "sat"])], "id long, words array<string>")
+    counts = sequences.gram_counts(df, "words", 3)
+    found = {tuple(r["gram"]): r["n"] for r in counts.collect()}
+    assert found[("<s>", "the")] == 3 and found[("the", "cat", "sat")] == 2 and found[("</s>",)] == 3 and ("<s>",) not in found and found[("<s>", "<s>", "the")] == 3
+    model = sequences.conditional(counts, 3)
+    assert sequences.generate(model, 3) == ["the", "cat", "sat"] and sequences.generate(model, 3, start=["the", "cat"]) == ["the", "cat", "sat"]
+    scores = {r["id"]: (r["n"], round(r["log_probability"], 9)) for r in sequences.text_scores(df, "id", "words", model, 3).collect()}
+    assert scores[1] == (4, round(math.log(2 / 3), 9)) and scores[2] == (4, round(math.log(1 / 3), 9))
+    unseen = spark.createDataFrame([(9, ["a"])], df.schema)
+    assert sequences.text_scores(unseen, "id", "words", model, 3).first()["log_probability"] == float("-inf")
+
+
+def test_bootstrap_draws_exactly_n(spark):
+    from corvane.operators import selection
+
+    out = selection.bootstrap(spark.range(500), "id", 3).collect()
+    assert len(out) == 500 and sum(r["times"] for r in out) == 500 and 150 < sum(r["times"] == 0 for r in out) < 220
