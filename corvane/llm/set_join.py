@@ -92,18 +92,18 @@ def _tree(labels: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray]) -> tupl
     return order, Tree(np.stack([folded(maps[i], bits) for i in order]), sizes[order], labels[order])
 
 
-def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int, stars: int = 4, worth: float = 0.5, cell_members: int = 20_000, exact_members: int = 400, exact_bytes: int = 16 << 20) -> DataFrame:
+def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int, stars: int = 4, worth: float = 0.95, cell_members: int = 20_000, exact_members: int = 400, exact_bytes: int = 16 << 20) -> DataFrame:
     """Links (a, b). members: (key long, sid long); sets: (sid long, n long, hashes binary: ascending
     little-endian 64-bit values), both written tables."""
     links = None
-    open_members, before = members.select("key", "sid", F.col("sid").alias("label")), members.count()
+    open_members, before = members.select("key", "sid", F.col("sid").alias("label")), None
     for i in range(stars):
         found = scratch.table(_star(open_members, sets, scratch, i, num, den), f"star_{i}")
         links = found if links is None else links.union(found)
         open_members = scratch.table(_labelled(open_members, links, scratch, f"after_star_{i}"), f"open_{i}")
         scratch.drop(f"pairs_{i}", *([f"open_{i - 1}"] if i else []))
-        left = open_members.count()
-        if left > worth * before:  # what is open now is mostly unlike; another star would connect little
+        left = open_members.select("label").distinct().count()
+        if before is not None and left > worth * before:  # what is open now is mostly unlike; another star would connect little
             break
         before = left
 
