@@ -143,15 +143,25 @@ def hits(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return total, found
 
 
+def _right(model: Model, total: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """For each text, the n-grams that each language contains, less what the filters let through by chance."""
+    chance = total[:, None] * model.false_positive[None, :]
+    return np.maximum((found - chance) / (1 - np.minimum(model.false_positive, 0.999))[None, :], 0.0)
+
+
 def decide(model: Model, total: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The language's number and its score for each text."""
-    chance = total[:, None] * model.false_positive[None, :]
-    right = np.maximum((found - chance) / (1 - np.minimum(model.false_positive, 0.999))[None, :], 0.0)
+    right = _right(model, total, found)
     every = right.sum(axis=1)
     best = np.where(every > 0, right.argmax(axis=1), model.default)
     return best, np.where(every > 0, right.max(axis=1) / np.where(every > 0, every, 1), 1.0 / len(model.languages))
 
 
+def known_share(model: Model, total: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """For each text, the share of its n-grams that the language with most of them contains; 0 without n-grams."""
+    return _right(model, total, found).max(axis=1) / np.maximum(total, 1)
+
+
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, lang_pred string, score double), one for each row of ``docs``."""
     kind = docs.schema[key].dataType.simpleString()
@@ -173,8 +183,12 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return source.mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
-def identified(docs: DataFrame, model: Model, text: str = "text", least_score: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter and a language with at least that score."""
+def identified(docs: DataFrame, model: Model, text: str = "text", least_share: float = 0.25) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a language that contains at least that share of its n-grams.
+
+    The share doesn't depend on the number of languages: text in a learned language has 0.65 or more on
+    labelled documents, chance gives next to nothing, and a text without any known n-gram is always rejected.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     position = docs.columns.index(text)
 
@@ -183,8 +197,8 @@ def identified(docs: DataFrame, model: Model, text: str = "text", least_score: f
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                _, score = decide(known, *hits(known, some.column(position)))
-                yield some.filter(pa.array(score >= least_score))
+                share = known_share(known, *hits(known, some.column(position)))
+                yield some.filter(pa.array((share >= least_share) & (share > 0)))
 
     lettered = docs.where(F.col(text).rlike("\\p{L}"))
     return lettered.mapInArrow(run, docs.schema) if model.languages else lettered.limit(0)

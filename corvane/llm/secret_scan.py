@@ -101,7 +101,9 @@ def scan(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "te
     owner = F.coalesce(F.substring_index("repository", "/", 1), F.lit(""))
     spans = table.where(F.size("spans") > 0).select("row", F.coalesce("repository", F.lit("")).alias("repository"), owner.alias("owner"), F.posexplode("spans").alias("no", "span"))
     rows = spans.select("row", "no", "repository", "owner", F.col("span.hash").alias("hash"), F.col("span.varied").alias("varied"))
-    judged = rows.join(ownership(rows.select("hash", "owner", "repository"), max_owners), "hash")
+    # dealt out once more, so that Spark can split the join at a value that very many rows hold
+    owned = ownership(rows.select("hash", "owner", "repository"), max_owners).repartition("hash", "copied")
+    judged = rows.join(owned, "hash")
     pick = lambda when: F.array_sort(F.collect_list(F.when(when, F.col("no"))))
     by_row = judged.groupBy("row").agg(pick(F.col("copied")).alias("copied"), pick(~F.col("copied") & F.col("varied")).alias("live"))
     empty = F.array().cast("array<int>")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -184,10 +185,42 @@ def test_language_id(spark):
     assert [out[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3 and out[1003]["lang_pred"] in words
     assert all(0 <= r["score"] <= 1 for r in out.values())
     assert language_id.identified(df, model).where("doc_id in (1000, 1001, 1002)").count() == 0
+    # letters of no learned language go, however many languages there are
+    other = spark.createDataFrame([(1, "жщ " * 30, "en"), (2, "xqzwkv jjqxz " * 20, "en"), (3, "the thing and with the thing", "en")], df.schema)
+    assert [r["doc_id"] for r in language_id.identified(other, model).collect()] == [3]
+    one = language_id.fit(df.where("lang = 'en'"))
+    assert [r["doc_id"] for r in language_id.identified(other, one).collect()] == [3]
     empty = language_id.fit(df.limit(0))
     assert language_id.predict(df, empty).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_filters_against_sets(spark):
+    """The sliced filters give each text the hits that plain sets of n-grams would, but for false positives;
+    equal hits go to the first language."""
+    draw = random.Random(4)
+    words = {k: ["".join(draw.choice(a) for _ in range(5)) for _ in range(40)] for k, a in (("aa", "abcde"), ("bb", "fghij"))}
+    rows = [(i, " ".join(draw.choice(words[k]) for _ in range(30)), k) for i in range(200) for k in [("aa", "bb")[i % 2]]]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    import pyarrow as pa
+
+    total, found = language_id.hits(model, pa.array([t for _, t, _ in rows] + ["", None]))
+    assert total[-2:].tolist() == [0, 0] and (found[:, 0][:-2:2] / total[:-2:2]).min() > 0.9 and found[:, 1][:-2:2].sum() <= 0.01 * total[:-2:2].sum()
+    best, score = language_id.decide(model, np.array([10, 0]), np.array([[5, 5], [0, 0]]))
+    assert best[0] == 0 and abs(score[0] - 0.5) < 1e-6
+
+
+def test_language_id_on_documents(spark):
+    """Held-out accuracy on the given documents."""
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    df = spark.read.parquet(str(path))
+    model = language_id.fit(df.where(~language_id.held_out(F.col("doc_id"))))
+    out = language_id.predict(df, model).join(df.select("doc_id", "lang", "text"), "doc_id").where(language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike("[A-Za-z]"))
+    right = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right >= 0.97
+
+
 def test_language_id_segments(monkeypatch):
     import pyarrow as pa
 
