@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases: null, empty and letterless texts go in the first stage; an empty table stays one; rows with
+a null key are never near duplicates to remove, and repeated rows of a key stay together or go together;
+extra columns are carried along, and the last stage returns none of them.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from corvane.llm.common import Scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those that no language claims with a score of 0.3."""
+    """Drops documents without a letter and those of whose n-grams no language contains a quarter."""
     model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
     return language_id.identified(docs, model)
 
