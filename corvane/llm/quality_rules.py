@@ -1,10 +1,12 @@
 """Quality rules: base rules on counts, and robust outliers by minimum covariance determinant.
 
 Each text's counts become a vector of transformed statistics (``FEATURES``). For each language and
-source, a minimum-covariance-determinant estimate is made: from the medians, the share ``subset``
-of the documents nearest to the current estimate give the next mean and covariance (concentration
-steps), which lowers the determinant until it settles; the covariance is then scaled to the median
-distance of a normal distribution. A document whose squared Mahalanobis distance exceeds
+source, a minimum-covariance-determinant estimate is made: the share ``subset`` of the documents nearest
+to the current estimate give the next mean and covariance (concentration steps), which lowers the
+determinant, until in no group it falls by ``settled`` of its logarithm any more. There are two starts, both
+from the medians: one with the floors as units, one with the spread between quartiles. Each group keeps
+the estimate with the least determinant of all starts and steps; the covariance is then scaled to the
+median distance of a normal distribution. A document whose squared Mahalanobis distance exceeds
 ``most`` is rejected. Every diagonal entry has a floor, since in many groups most texts share a
 value (no symbols, no repeats). Groups under ``least_group`` documents are pooled by language, and
 small languages into one group.
@@ -133,23 +135,45 @@ def _estimate(inside: DataFrame) -> DataFrame:
     return sums.select("grp", *[(F.col(f"a_{i}") + F.col(f"z_{i}")).alias(f"m_{i}") for i in range(p)], *cov)
 
 
-def judge(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", subset: float = 0.75, steps: int = 3, most: float = CHI2_FAR, least_group: int = 200) -> DataFrame:
-    """The columns of ``statistics`` with distance (double), outlier, base_failed and kept."""
+def _least_determinant(models: DataFrame) -> DataFrame:
+    """Of the models of a group, the one with the least determinant."""
+    rest = [c for c in models.columns if c not in ("grp", "logdet")]
+    return models.groupBy("grp").agg(F.min(F.struct("logdet", *rest)).alias("x")).select("grp", "x.*")
+
+
+def estimated(rows: DataFrame, scratch: Scratch, subset: float, settled: float = 1e-3, most_steps: int = 100) -> DataFrame:
+    """(grp, m_*, w_*, logdet) of the rows (grp, NAMES): the estimate of each group. The model, in logdet, has
+    the logarithm of the covariance's determinant."""
     p = len(NAMES)
-    rows = scratch.table(_grouped(scratch.table(statistics(docs, key, text, lang, source).select("*", *features()), "statistics"), least_group), "grouped")
-    middle = few(scratch.table(rows.groupBy("grp").agg(*[F.percentile_approx(name, 0.5, 1000).alias(f"z_{i}") for i, name in enumerate(NAMES)]), "medians"))
-    small = rows.select("grp", *NAMES).join(middle, "grp")
-    # the start: distances from the medians, in units of the floors
-    start = sum((((F.col(name) - F.col(f"z_{i}")) / F.lit(least)) ** 2 for i, (name, least) in enumerate(FEATURES)), F.lit(0.0))
-    near = small.withColumn("d", start)
-    model = None
-    for step in range(steps):
+    quartiles = rows.groupBy("grp").agg(*[F.percentile_approx(name, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(f"q_{i}") for i, name in enumerate(NAMES)])
+    middle = few(scratch.table(quartiles.select("grp", *[F.col(f"q_{i}")[1].alias(f"z_{i}") for i in range(p)], *[F.greatest(F.lit(least), (F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349).alias(f"u_{i}") for i, (_, least) in enumerate(FEATURES)]), "medians"))
+    both = rows.select("grp", *NAMES).join(middle, "grp").withColumn("start", F.explode(F.array(F.lit("0"), F.lit("1"))))
+    unit = [F.when(F.col("start") == "0", F.lit(least)).otherwise(F.col(f"u_{i}")) for i, (_, least) in enumerate(FEATURES)]
+    distance = sum((((F.col(name) - F.col(f"z_{i}")) / unit[i]) ** 2 for i, name in enumerate(NAMES)), F.lit(0.0))
+    # a start is a group of its own: the number before the group's name
+    small = both.withColumn("d", distance).withColumn("grp", F.concat("start", "grp")).drop("start", *[f"u_{i}" for i in range(p)])
+    near, best = small, None
+    for step in range(most_steps):
         limits = few(scratch.table(near.groupBy("grp").agg(F.percentile_approx("d", subset, 1000).alias("limit")), f"limits_{step}"))
-        inside = near.join(limits, "grp").where("d <= limit")
-        model = few(scratch.table(_whitening(_estimate(inside)), f"model_{step}"))
-        near = small.join(model, "grp").withColumn("d", _distance()).select("grp", *NAMES, *[f"z_{i}" for i in range(p)], "d")
-    medians = near.groupBy("grp").agg(F.percentile_approx("d", 0.5, 1000).alias("median")).withColumn("scale", F.greatest(F.col("median") / CHI2_MEDIAN, F.lit(1.0))).select("grp", "scale")
-    scale = few(scratch.table(medians, "scales"))
+        model = _whitening(_estimate(near.join(limits, "grp").where("d <= limit")))
+        model = scratch.table(model.withColumn("logdet", -2 * sum((F.log(f"w_{i}_{i}") for i in range(p)), F.lit(0.0))), f"model_{step}")
+        if best is not None:
+            fallen = best.select("grp", F.col("logdet").alias("before")).join(model, "grp").agg(F.max(F.col("before") - F.col("logdet"))).first()[0]
+            if fallen is None or fallen < settled:
+                break
+        best = scratch.table(_least_determinant(model if best is None else best.unionByName(model)), f"best_{step}")
+        near = small.drop("d").join(few(model), "grp").withColumn("d", _distance()).select(*small.columns)
+    else:
+        raise RuntimeError("the determinants don't settle")
+    return _least_determinant(best.withColumn("grp", F.expr("substring(grp, 2)")))
+
+
+def judge(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", subset: float = 0.75, most: float = CHI2_FAR, least_group: int = 200) -> DataFrame:
+    """The columns of ``statistics`` with distance (double), outlier, base_failed and kept."""
+    rows = scratch.table(_grouped(scratch.table(statistics(docs, key, text, lang, source).select("*", *features()), "statistics"), least_group), "grouped")
+    model = few(scratch.table(estimated(rows, scratch, subset), "model"))
+    medians = rows.select("grp", *NAMES).join(model, "grp").withColumn("d", _distance()).groupBy("grp").agg(F.percentile_approx("d", 0.5, 1000).alias("median"))
+    scale = few(scratch.table(medians.withColumn("scale", F.greatest(F.col("median") / CHI2_MEDIAN, F.lit(1.0))).select("grp", "scale"), "scales"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = rows.join(model, "grp").join(scale, "grp").withColumn("distance", _distance() / F.col("scale")).withColumn("outlier", F.col("distance") > most).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
     return out.select(F.col("key").alias(key), "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "distance", "outlier", "base_failed", "kept")

@@ -63,9 +63,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("item").alias("item_id"), "n_shared", "n_shingles")
 
 
+def with_spans(docs: DataFrame) -> DataFrame:
+    found = pii.find(docs)
+    return found.select("doc_id", *[f"n_{k}" for k in pii.BASE], F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find(documents(spark, sf_dir))
-    return found.select("doc_id", *[f"n_{k}" for k in pii.BASE], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return with_spans(documents(spark, sf_dir))
 
 
 def op10_substring_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,6 +293,24 @@ def test_quality_outliers(spark):
     assert np.allclose(ours, np.sort(d), rtol=0.1, atol=0.01)
 
 
+def test_quality_estimate_has_the_least_determinant(spark):
+    """Of both starts' steps, and no step lowers it any more."""
+    draw = np.random.default_rng(5)
+    x = np.concatenate([draw.normal([1, 0.5, 0.5, 0.5], [0.4, 0.2, 0.3, 0.3], (400, 4)), draw.normal([3, 2, 2, 2], 0.05, (60, 4))])
+    rows = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, word_length double, symbols double, dup_lines double, repeats double")
+    model = quality_rules.estimated(rows, Scratch(spark, "t"), 0.75).first()
+    floor, found = np.array([s for _, s in quality_rules.FEATURES]), []
+    spread = np.maximum(floor, (np.quantile(x, 0.75, axis=0) - np.quantile(x, 0.25, axis=0)) / 1.349)
+    for unit in (floor, spread):
+        d = (((x - np.median(x, axis=0)) / unit) ** 2).sum(1)
+        for _ in range(50):
+            near = x[d <= np.quantile(d, 0.75, method="inverted_cdf")]
+            cov = np.cov(near.T, bias=True) + np.diag(floor**2)
+            found.append(np.linalg.slogdet(cov)[1])
+            d = np.einsum("ij,jk,ik->i", x - near.mean(0), np.linalg.inv(cov), x - near.mean(0))
+    assert abs(model["logdet"] - min(found)) < 0.02
+
+
 @pytest.mark.parametrize("sizes", [{}, {"chunk_chars": 500, "overlap": 40}, {"chunk_chars": 64, "overlap": 3}])
 def test_byte_bpe(spark, docs, texts, sizes):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -421,6 +439,26 @@ def test_pii_trees():
     assert pii.all_spans("order #000-12-3456 version", model, limits)[1] == []
 
 
+def test_pii_query_by_definition(spark, texts):
+    """Counts, digest and spans of the query's rows, base spans by their own patterns."""
+    from corvane.llm import queries
+
+    rx = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    only = lambda s: re.sub("[^0-9]", "", s)
+    good = {"email": lambda s: True, "ip": lambda s: all(int(p) <= 255 for p in s.split(".")), "card": lambda s: 13 <= len(only(s)) <= 19 and pii.luhn(only(s)), "phone": lambda s: 9 <= len(only(s)) <= 15}
+    more = ["pay with card 4465758382889438 now", "at 1617181920123 ms", "isbn 9781234567897 here", "é +44 20 7946 0958, a@b.co"]
+    rows = spark.createDataFrame(list(enumerate([*texts, *more])), "doc_id long, text string")
+    out = got(queries.with_spans(rows))
+    for i, t in enumerate([*texts, *more]):
+        spans = [f"{k}:{m.start()}:{m.end()}" for k in rx for m in re.finditer(rx[k], t or "") if good[k](m[0])]
+        assert out[i]["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert [out[i][f"n_{k}"] for k in rx] == [sum(s.startswith(k) for s in spans) for k in rx]
+        every = [s for s in out[i]["spans"].split(",") if s]
+        assert set(spans) <= set(every) and out[i]["n_spans"] == len(every)
+    n = len(texts)
+    assert "account:14:30" in out[n]["spans"] and out[n + 1]["spans"] == ""
+
+
 def test_pii_query(spark, docs):
     out = got(pii.find(docs))
     assert len(out) == docs.select("doc_id").distinct().count() and out[0]["base"] == ""
