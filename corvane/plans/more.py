@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import vectors as V
-from corvane.operators import embeddings, evaluation, generative, grids, linear, neighbours, schedules, selection, sequences, text
-from corvane.plans.catalog import _B, _FLAG, _G, _STEP, _TABLE, ORACLE, QUERIES, X, X2, _bench, _grid, _r2, _returned, _weights, lines, query, rounded, vectors
+from corvane.operators import embeddings, evaluation, generative, grids, layers, linear, neighbours, schedules, selection, sequences, text
+from corvane.plans.catalog import _B, _FLAG, _G, _STEP, _TABLE, LINE, ORACLE, QUERIES, X, X2, _bench, _grid, _r2, _returned, _weights, lines, query, rounded, vectors
 from corvane.scratch import written
 from corvane.sources.tables import table
 
@@ -134,6 +134,131 @@ query("cross_validation_accuracy", f"WITH {_CLASS_FOLDS}, {_CLASS_MODEL}, a AS (
 query("cross_validation_macro", f"WITH {_CLASS_FOLDS}, {_CLASS_MODEL}, {_POOLED}, q AS (SELECT c.i, sum(n) FILTER (WHERE actual = c.i AND predicted = c.i) AS hit, sum(n) FILTER (WHERE actual = c.i) AS an, sum(n) FILTER (WHERE predicted = c.i) AS pn FROM x, range(3) c(i) GROUP BY c.i) SELECT round(avg(hit / an), 6) + 0.0 AS macro_recall FROM q")(lambda spark, d: rounded(evaluation.per_class(evaluation.confusion(_class_cv(spark, d), "k", "prediction", 3)).agg(F.avg("recall").alias("macro_recall"))))
 query("bootstrap", "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey || ':7'), o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders), d AS (SELECT CAST('0x' || substring(md5(i || ':draw:7'), 1, 12) AS BIGINT) % (SELECT count(*) FROM orders) AS place FROM range((SELECT count(*) FROM orders)) t(i)), t AS (SELECT place, count(*) AS times FROM d GROUP BY place) SELECT o_orderkey, coalesce(times, 0) AS times FROM o LEFT JOIN t USING (place)")(lambda spark, d: selection.bootstrap(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 7))
 
+# --- trees, by splits of one level after the other ----------------------------------------------------
+
+_FEATURES = ("l_quantity", "l_discount", "l_tax")
+
+
+def _level(name: str, rows: str, gini: bool) -> str:
+    """CTE {name} (node, feature, threshold, gain, l0, n0, l1, n1): the best split of each node of ``rows`` (node, features, t)."""
+    part = "PARTITION BY node, feature"
+    impure = (lambda n, a, b: f"(2 * ({a} / {n}) * (1 - {a} / {n}))") if gini else (lambda n, a, b: f"greatest(0, {b} / {n} - ({a} / {n}) * ({a} / {n}))")
+    return f"""{name}_f AS (""" + " UNION ALL ".join(f"SELECT node, {i} AS feature, CAST({c} AS DOUBLE) AS v, t FROM {rows}" for i, c in enumerate(_FEATURES)) + f"""),
+{name}_g AS (SELECT node, feature, v, count(*) AS c, sum(t) AS a, sum(t * t) AS b FROM {name}_f GROUP BY ALL),
+{name}_w AS (SELECT node, feature, (v + lead(v) OVER ({part} ORDER BY v)) / 2 AS threshold, sum(c) OVER r AS l0, sum(a) OVER r AS l1, sum(b) OVER r AS l2, sum(c) OVER ({part}) AS n0, sum(a) OVER ({part}) AS n1, sum(b) OVER ({part}) AS n2 FROM {name}_g WINDOW r AS ({part} ORDER BY v ROWS UNBOUNDED PRECEDING)),
+{name}_i AS (SELECT *, {impure('n0', 'n1', 'n2')} - l0 / n0 * {impure('l0', 'l1', 'l2')} - (1 - l0 / n0) * {impure('(n0 - l0)', '(n1 - l1)', '(n2 - l2)')} AS gain FROM {name}_w WHERE threshold IS NOT NULL),
+{name} AS MATERIALIZED (SELECT * FROM {name}_i WHERE round(gain, 12) > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(gain, 12) DESC, feature, threshold) = 1)"""
+
+
+def _side(split: str, row: str) -> str:
+    return "CASE " + " ".join(f"WHEN {split}.feature = {i} THEN {row}.{c} < {split}.threshold" for i, c in enumerate(_FEATURES)) + " END"
+
+
+def _tree_sql(target: str, gini: bool, last: str) -> str:
+    names = "CASE feature " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_FEATURES)) + " END"
+    return f"""WITH t0 AS MATERIALIZED (SELECT 0 AS node, {', '.join(_FEATURES)}, CAST({target} AS DOUBLE) AS t FROM lineitem), {_level('a', 't0', gini)},
+t1 AS MATERIALIZED (SELECT CASE WHEN {_side('a', 't0')} THEN 1 ELSE 2 END AS node, {', '.join('t0.' + c for c in _FEATURES)}, t FROM t0, a), {_level('b', 't1', gini)},
+o AS (SELECT *, row_number() OVER (ORDER BY node) - 1 AS k FROM b), x AS (SELECT 0 AS node, feature, threshold, gain, n0 AS n FROM a UNION ALL SELECT 1, NULL, 0, 0, l0 FROM a UNION ALL SELECT 2, NULL, 0, 0, n0 - l0 FROM a),
+y AS (SELECT x.node, coalesce(o.feature, x.feature) AS feature, coalesce(o.threshold, x.threshold) AS threshold, coalesce(o.gain, x.gain) AS gain, n FROM x LEFT JOIN o ON o.node = x.node UNION ALL SELECT 3 + 2 * k, NULL, 0, 0, l0 FROM o UNION ALL SELECT 4 + 2 * k, NULL, 0, 0, n0 - l0 FROM o)
+{last.format(names=names)}"""
+
+
+_NODES = "SELECT node, coalesce({names}, '') AS feature, round(threshold, 6) + 0.0 AS threshold, round(gain, {0}) + 0.0 AS gain, CAST(n AS DOUBLE) AS n FROM y"
+ORACLE["tree_classifier"] = _tree_sql("l_returnflag = 'R'", True, _NODES.replace("{0}", "9"))
+ORACLE["tree_regressor"] = _tree_sql("l_extendedprice", False, _NODES.replace("{0}", "1"))
+ORACLE["gain_importance"] = _tree_sql("l_extendedprice", False, "SELECT c.feature, round(coalesce(sum(n * gain) FILTER (WHERE q.name = c.feature), 0) / sum(n * gain), 6) + 0.0 AS importance FROM (SELECT *, {names} AS name FROM y) q, (VALUES " + ", ".join(f"('{c}')" for c in _FEATURES) + ") c(feature) GROUP BY c.feature")
+
+
+def _nodes(digits: int):
+    def named(f):
+        return lambda spark, d: f(spark, d).select("node", F.coalesce("feature", F.lit("")).alias("feature"), (F.round("threshold", 6) + 0.0).alias("threshold"), (F.round("gain", digits) + 0.0).alias("gain"), "n")
+
+    return named
+
+
+QUERIES["tree_classifier"] = _nodes(9)(QUERIES["tree_classifier"])
+QUERIES["tree_regressor"] = _nodes(1)(QUERIES["tree_regressor"])
+QUERIES["gain_importance"] = lambda spark, d, f=QUERIES["gain_importance"]: rounded(f(spark, d))
+
+
+def _boosted(rounds: int = 3, rate: float = 0.5) -> str:
+    out = f"WITH t0 AS MATERIALIZED (SELECT 0 AS node, {', '.join(_FEATURES)}, l_extendedprice - avg(l_extendedprice) OVER () AS t FROM lineitem)"
+    for i in range(rounds):
+        out += f", {_level(f's{i}', f't{i}', False)}, t{i + 1} AS MATERIALIZED (SELECT 0 AS node, {', '.join(f't{i}.{c}' for c in _FEATURES)}, t - {rate} * CASE WHEN {_side(f's{i}', f't{i}')} THEN l1 / l0 ELSE (n1 - l1) / (n0 - l0) END AS t FROM t{i}, s{i})"
+    return out + f" SELECT round(avg(t * t), 1) AS mse FROM t{rounds}"
+
+
+ORACLE["gradient_boosting"] = _boosted()
+QUERIES["gradient_boosting"] = lambda spark, d, f=QUERIES["gradient_boosting"]: f(spark, d).select(F.round("mse", 1).alias("mse"))
+
+# --- components: squares of the correlation matrix come to the projection on its first direction -------
+
+
+def _components_sql(n: int, squarings: int = 22) -> str:
+    """CTEs {k} of p_0 .. p_{n-1} (i, j, v) and e (component, feature number, loading)."""
+    cells = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, covar_samp({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) AS v FROM lineitem" for i, a in enumerate(LINE) for j, b in enumerate(LINE))
+    out = f"c0 AS MATERIALIZED ({cells})"
+    for k in range(n):
+        out += f", m{k}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM c{k} WHERE i = j) AS v FROM c{k})"
+        for s in range(squarings):
+            out += f", q{k}_{s} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM m{k}_{s} a JOIN m{k}_{s} b ON a.j = b.i GROUP BY ALL), m{k}_{s + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM q{k}_{s} WHERE i = j) AS v FROM q{k}_{s})"
+        last = f"m{k}_{squarings}"
+        out += f", c{k + 1} AS MATERIALIZED (SELECT c.i, c.j, c.v - (SELECT sum(a.v * b.v) FROM c{k} a JOIN {last} b USING (i, j)) * m.v AS v FROM c{k} c JOIN {last} m USING (i, j)), e{k} AS MATERIALIZED (SELECT i AS j, v / sqrt((SELECT max(v) FROM {last} WHERE i = j)) AS loading FROM {last} WHERE j = (SELECT i FROM {last} WHERE i = j ORDER BY v DESC LIMIT 1))"
+    return out
+
+
+ORACLE["principal_components"] = f"WITH {_components_sql(4)} " + " UNION ALL ".join(f"SELECT {k} AS component, CASE j " + " ".join(f"WHEN {j} THEN '{c}'" for j, c in enumerate(LINE)) + f" END AS feature, round(loading, 4) + 0.0 AS loading FROM e{k}" for k in range(4))
+QUERIES["principal_components"] = lambda spark, d, f=QUERIES["principal_components"]: rounded(f(spark, d), 4)
+ORACLE["project_components"] = f"WITH {_components_sql(2)}, s AS (SELECT " + ", ".join(f"avg({c}) AS m{j}, stddev_pop({c}) AS s{j}" for j, c in enumerate(LINE)) + " FROM lineitem), w AS (SELECT " + ", ".join(f"(SELECT loading FROM e{k} WHERE j = {j}) AS w{k}{j}" for k in range(2) for j in range(4)) + ") SELECT l_orderkey, l_linenumber, " + ", ".join("round(" + " + ".join(f"w{k}{j} * ({c} - m{j}) / s{j}" for j, c in enumerate(LINE)) + f", 4) + 0.0 AS pc{k + 1}" for k in range(2)) + " FROM lineitem, s, w"
+QUERIES["project_components"] = lambda spark, d, f=QUERIES["project_components"]: rounded(f(spark, d), 4)
+
+# --- robust regression, layers, merges ---------------------------------------------------------------
+
+
+def _huber(rounds: int = 25, threshold: float = 1.35, tolerance: float = 1e-4) -> str:
+    """Weighted sums about the origin, and the rule that stops the rounds."""
+    solve = """SELECT n, (y - b * x - c * z) / w AS a, b, c, {keep} FROM (SELECT *, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS b, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS c FROM (SELECT *, xx - x * x / w AS sxx, zz - z * z / w AS szz, xz - x * z / w AS sxz, xy - x * y / w AS sxy, zy - z * y / w AS szy FROM {source}))"""
+    sums = "sum(u) AS w, sum(u * l_quantity) AS x, sum(u * l_discount) AS z, sum(u * l_extendedprice) AS y, sum(u * l_quantity * l_quantity) AS xx, sum(u * l_discount * l_discount) AS zz, sum(u * l_quantity * l_discount) AS xz, sum(u * l_quantity * l_extendedprice) AS xy, sum(u * l_discount * l_extendedprice) AS zy"
+    r = "abs(l_extendedprice - a - b * l_quantity - c * l_discount)"
+    out = f"WITH i AS MATERIALIZED (SELECT count(*) AS n, {sums} FROM (SELECT *, 1.0::DOUBLE AS u FROM lineitem)), o AS MATERIALIZED ({solve.format(keep='0 AS z', source='i')}), p_0 AS MATERIALIZED (SELECT o.n, a, b, c, sqrt((SELECT avg({r} * {r}) FROM lineitem)) AS s, false AS done FROM o)"
+    for k in range(rounds):
+        out += f""", k_{k} AS MATERIALIZED (SELECT a AS a0, b AS b0, c AS c0, done, CASE WHEN n - {threshold ** 2} * outside > 0 AND inside > 0 THEN sqrt(inside / (n - {threshold ** 2} * outside)) ELSE s END AS s FROM p_{k}, (SELECT sum({r} * {r}) FILTER (WHERE {r} <= {threshold} * s) AS inside, count(*) FILTER (WHERE {r} > {threshold} * s) AS outside FROM lineitem, p_{k})),
+g_{k} AS MATERIALIZED (SELECT any_value(n) AS n, any_value(s) AS s, any_value(a0) AS a0, any_value(b0) AS b0, any_value(c0) AS c0, any_value(done) AS done, {sums} FROM (SELECT l.*, q.*, (SELECT n FROM i) AS n, CASE WHEN r <= {threshold} * s THEN 1.0 ELSE {threshold} * s / r END AS u FROM (SELECT *, abs(l_extendedprice - a0 - b0 * l_quantity - c0 * l_discount) AS r FROM lineitem, k_{k}) q, (SELECT 1 AS one) l)),
+p_{k + 1} AS MATERIALIZED (SELECT n, CASE WHEN done THEN a0 ELSE a END AS a, CASE WHEN done THEN b0 ELSE b END AS b, CASE WHEN done THEN c0 ELSE c END AS c, s, done OR greatest(abs(a - a0), abs(b - b0), abs(c - c0)) < {tolerance} AS done FROM ({solve.format(keep='s, a0, b0, c0, done', source=f'g_{k}')}))"""
+    return f"{out} {_named(f'p_{rounds}', X2)}"
+
+
+ORACLE["huber"] = _huber()
+
+
+def _stack() -> str:
+    """The drawn weights as numbers in the text."""
+    one, two = layers.Dense.drawn(2, 4, "tanh", 1), layers.Dense.drawn(4, 1, "identity", 2)
+    hidden = [f"tanh({w[0]!r} * l_quantity + {w[1]!r} * l_discount + {b!r})" for w, b in zip(one.weights.tolist(), one.biases.tolist(), strict=True)]
+    return f"SELECT l_orderkey, l_linenumber, round({' + '.join(f'{w!r} * {h}' for w, h in zip(two.weights[0].tolist(), hidden, strict=True))} + {two.biases.tolist()[0]!r}, 6) + 0.0 AS output FROM lineitem"
+
+
+ORACLE["dense_stack"] = _stack()
+QUERIES["dense_stack"] = lambda spark, d, f=QUERIES["dense_stack"]: rounded(f(spark, d))
+
+
+def _merges_sql(n: int, likelihood: bool) -> str:
+    """CTEs w_0 .. w_n (word, s, n), each with the symbols of s merged once more, and b_0 .. b_{n-1} (l, r)."""
+    mark, prefix = ("", "##") if likelihood else ("</w>", "")
+    out = f"""wb AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark), w_0 AS MATERIALIZED (SELECT word, chr(1) || array_to_string(list_transform(string_split(word, ''), lambda c, i: CASE WHEN i > 1 THEN '{prefix}' ELSE '' END || c || CASE WHEN i = length(word) THEN '{mark}' ELSE '' END), chr(2) || chr(1)) || chr(2) AS s, count(*) AS n FROM (SELECT unnest(ws) AS word FROM wb) GROUP BY word)"""
+    for k in range(n):
+        out += f""", x_{k} AS MATERIALIZED (SELECT string_split(substring(s, 2, length(s) - 2), chr(2) || chr(1)) AS x, n FROM w_{k}),
+u_{k} AS (SELECT c, sum(n) AS m FROM (SELECT unnest(x) AS c, n FROM x_{k}) GROUP BY c),
+y_{k} AS (SELECT p.l AS l, p.r AS r, sum(n) AS n FROM (SELECT unnest(list_transform(range(1, len(x)), lambda i: struct_pack(l := x[i], r := x[i + 1]))) AS p, n FROM x_{k} WHERE len(x) > 1) GROUP BY ALL HAVING sum(n) >= 2),
+b_{k} AS MATERIALIZED (SELECT y.l, y.r FROM y_{k} y JOIN u_{k} a ON a.c = y.l JOIN u_{k} b ON b.c = y.r ORDER BY {'y.n / (a.m * b.m)' if likelihood else 'y.n'} DESC, y.l, y.r LIMIT 1),
+w_{k + 1} AS MATERIALIZED (SELECT word, CASE WHEN l IS NULL THEN s ELSE replace(s, chr(1) || l || chr(2) || chr(1) || r || chr(2), chr(1) || l || {"CASE WHEN starts_with(r, '##') THEN substring(r, 3) ELSE r END" if likelihood else 'r'} || chr(2)) END AS s, n FROM w_{k} LEFT JOIN b_{k} ON true)"""
+    return out
+
+
+for _name, _n, _likely in (("learn_byte_pairs", 60, False), ("learn_word_pieces", 40, True)):
+    ORACLE[_name] = f"WITH {_merges_sql(_n, _likely)} " + " UNION ALL ".join(f'SELECT {k} AS step, l AS "left", r AS "right" FROM b_{k}' for k in range(_n))
+ORACLE["encode_byte_pairs"] = f"WITH {_merges_sql(100, False)}, t AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM wb), z AS (SELECT item_id, string_agg(replace(substring(s, 2, length(s) - 2), chr(2) || chr(1), ' '), ' ' ORDER BY i) AS pieces FROM t JOIN w_100 USING (word) GROUP BY item_id) SELECT item_id, CAST(len(string_split(pieces, ' ')) AS INT) AS n, pieces FROM z"
+
 # --- schedules, scores -------------------------------------------------------------------------------
 
 _EPOCHS = "SELECT DISTINCT CAST(l_quantity AS BIGINT) AS epoch FROM lineitem"
@@ -156,8 +281,8 @@ query("weight_normalisation", f"SELECT l_orderkey, l_linenumber, round(2 * s[1]
 query("diagonal_gaussian", "WITH s AS (SELECT avg(l_quantity) AS m1, avg(l_discount) AS m2, var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2 FROM lineitem) SELECT l_orderkey, l_linenumber, round(-0.5 * (ln(2 * pi() * v1) + ln(2 * pi() * v2)) - (l_quantity - m1) * (l_quantity - m1) / (2 * v1) - (l_discount - m2) * (l_discount - m2) / (2 * v2), 6) + 0.0 AS log_density FROM lineitem, s")(
     lambda spark, d: rounded(lines(spark, d).select("l_orderkey", "l_linenumber", generative.DiagonalGaussian.of(lines(spark, d), X2).log_density().alias("log_density")))
 )
-query("class_shares", f"WITH {_FLAG}, i AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM r), c AS (SELECT k, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2 FROM r GROUP BY k), t AS (SELECT count(*) AS n, 1e-9 * greatest(var_pop(x1), var_pop(x2)) AS e FROM r), z AS (SELECT rid, l_orderkey, l_linenumber, c.k, exp(ln(c.n / t.n) - 0.5 * (ln(v1 + e) + ln(v2 + e) + (x1 - m1) * (x1 - m1) / (v1 + e) + (x2 - m2) * (x2 - m2) / (v2 + e))) AS p FROM i, c, t) SELECT l_orderkey, l_linenumber, round(sum(p) FILTER (WHERE k = 1) / sum(p), 6) AS share FROM z GROUP BY rid, l_orderkey, l_linenumber")(
-    lambda spark, d: rounded(generative.gaussian_naive_bayes(_returned(spark, d), X, "k").predict(_returned(spark, d)).select("l_orderkey", "l_linenumber", F.col("probabilities")[1].alias("share")))
+query("class_shares", f"WITH {_FLAG}, i AS MATERIALIZED (SELECT row_number() OVER () AS rid, * FROM r), c AS (SELECT k, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2 FROM r GROUP BY k), t AS (SELECT count(*) AS n, 1e-9 * greatest(var_pop(x1), var_pop(x2)) AS e FROM r), z AS (SELECT rid, l_orderkey, l_linenumber, c.k, exp(ln(c.n / t.n) - 0.5 * (ln(v1 + e) + ln(v2 + e) + (x1 - m1) * (x1 - m1) / (v1 + e) + (x2 - m2) * (x2 - m2) / (v2 + e))) AS p FROM i, c, t) SELECT l_orderkey, l_linenumber, round(sum(p) FILTER (WHERE k = 1) / sum(p), 4) AS share FROM z GROUP BY rid, l_orderkey, l_linenumber")(
+    lambda spark, d: rounded(generative.gaussian_naive_bayes(_returned(spark, d), X, "k").predict(_returned(spark, d)).select("l_orderkey", "l_linenumber", F.col("probabilities")[1].alias("share")), 4)
 )
 
 # --- language models of order 3 ----------------------------------------------------------------------
