@@ -92,9 +92,11 @@ def classes(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 def thinned(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
     """(key, salt, sid). Sets beyond the second of a bucket in these rows need no partner from elsewhere
     to prove that the bucket is shared: they get a salt, and don't meet in one task."""
-    order = np.argsort(keys, kind="stable")
+    order = np.lexsort((sids, keys))
     keys, sids = keys[order], sids[order]
-    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])]) if len(keys) else np.zeros(0, bool)
+    keys, sids = keys[new], sids[new]  # a repeat of the first set isn't a second one
+    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     place = np.arange(len(keys)) - np.repeat(firsts, np.diff(np.append(firsts, len(keys))))
     salt = np.where(place > 1, 1 + (sids & 63), 0).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(salt), pa.array(sids)], ["key", "salt", "sid"])

@@ -63,15 +63,15 @@ OP6_PASSAGES = f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM (SELECT DISTINCT doc_id, text FROM documents)),
 c AS (SELECT rid, doc_id, unnest(string_split_regex(t, '{_GAP}')) AS word, unnest(list_concat([''], regexp_extract_all(t, '{_GAP}'))) AS gap, unnest(range(len(regexp_extract_all(t, '{_GAP}')) + 1)) AS i FROM t),
 p AS (SELECT rid, doc_id, word, i, sum(length(gap) + length(word)) OVER (PARTITION BY rid ORDER BY i) AS e FROM c),
-w AS (SELECT rid, word, e - length(word) AS b, e, row_number() OVER (PARTITION BY rid ORDER BY i) AS at FROM p WHERE word <> ''),
+w AS (SELECT rid, word, e - length(word) AS b, e, row_number() OVER (PARTITION BY rid ORDER BY i) AS place FROM p WHERE word <> ''),
 l AS (SELECT rid, doc_id, {_WORDS.format(text='t')} AS ws FROM t),
-x AS (SELECT rid, doc_id, unnest(range(1, len(ws) - 48)) AS at, unnest(list_transform(range(1, len(ws) - 48), lambda i: array_to_string(ws[i:i + 49], ' '))) AS win FROM l WHERE len(ws) >= 50),
+x AS (SELECT rid, doc_id, unnest(range(1, len(ws) - 48)) AS place, unnest(list_transform(range(1, len(ws) - 48), lambda i: array_to_string(ws[i:i + 49], ' '))) AS win FROM l WHERE len(ws) >= 50),
 o AS (SELECT win, min(doc_id) AS first FROM x GROUP BY win HAVING min(doc_id) <> max(doc_id)),
-j AS (SELECT rid, doc_id, at, first, doc_id <> first AS removed FROM x JOIN o USING (win)),
-k AS (SELECT *, coalesce(CAST(at - lag(at) OVER (PARTITION BY rid, removed ORDER BY at) > 50 AS INT), 1) AS begins FROM j),
-r AS (SELECT *, sum(begins) OVER (PARTITION BY rid, removed ORDER BY at) AS run FROM k),
-m AS (SELECT rid, doc_id, removed, min(at) AS a, max(at) + 49 AS z, min(first) AS first FROM r GROUP BY rid, doc_id, removed, run)
-SELECT m.doc_id, 'passage' AS kind, CAST(NULL AS BIGINT) AS line, CAST(f.b AS BIGINT) AS "start", CAST(g.e AS BIGINT) AS "end", z - a + 1 AS n_words, first AS class_doc_id, CAST(NULL AS BIGINT) AS class_line, removed FROM m JOIN w f ON f.rid = m.rid AND f.at = m.a JOIN w g ON g.rid = m.rid AND g.at = m.z
+j AS (SELECT rid, doc_id, place, first, doc_id <> first AS removed FROM x JOIN o USING (win)),
+k AS (SELECT *, coalesce(CAST(place - lag(place) OVER (PARTITION BY rid, removed ORDER BY place) > 50 AS INT), 1) AS begins FROM j),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY rid, removed ORDER BY place) AS run FROM k),
+m AS (SELECT rid, doc_id, removed, min(place) AS a, max(place) + 49 AS z, min(first) AS first FROM r GROUP BY rid, doc_id, removed, run)
+SELECT m.doc_id, 'passage' AS kind, CAST(NULL AS BIGINT) AS line, CAST(f.b AS BIGINT) AS "start", CAST(g.e AS BIGINT) AS "end", z - a + 1 AS n_words, first AS class_doc_id, CAST(NULL AS BIGINT) AS class_line, removed FROM m JOIN w f ON f.rid = m.rid AND f.place = m.a JOIN w g ON g.rid = m.rid AND g.place = m.z
 """
 OP6 = f"SELECT * FROM ({OP6_LINES}) UNION ALL SELECT * FROM ({OP6_PASSAGES})"
 

@@ -127,6 +127,9 @@ def test_thinned_buckets(spark):
     rows = spark.createDataFrame(batch.to_pandas())
     assert {(r["key"], r["sid"]) for r in ngram_join.shared_buckets(rows).collect()} == {(7, s) for k, s in zip(keys.tolist(), sids.tolist(), strict=True) if k == 7}
     assert rows.where("key = 7 and salt = 0").count() == 2
+    repeated = spark.createDataFrame(ngram_join.thinned(np.array([5, 5, 5, 6, 6]), np.array([1, 1, 2, 3, 3])).to_pandas())
+    assert {(r["key"], r["sid"]) for r in ngram_join.shared_buckets(repeated).collect()} == {(5, 1), (5, 2)}
+    assert ngram_join.thinned(np.zeros(0, np.int64), np.zeros(0, np.int64)).num_rows == 0
 
 
 def test_bucket_keys_meet():
