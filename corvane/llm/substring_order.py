@@ -157,7 +157,8 @@ def repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
         raise InvalidParameter(f"{key}: {kind.simpleString()} is neither an integer nor a string")
     source = docs.select(F.col(key).alias("key"), place_of.alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.hash("text"))
     parsed = _parse(source.select("k", "th", "text"), least)
-    again = parsed.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger")
+    # dealt out once more, so that Spark can split the join at a trigger that very many texts have
+    again = parsed.groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").repartition("trigger", "n").select("trigger")
     rows = scratch.table(parsed.join(again, "trigger"), "phrases")
     place = F.struct("k", "th", "at")
     entries = scratch.table(rows.groupBy("trigger", "phrase").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first("sides").alias("sides")), "dictionary")
@@ -171,7 +172,7 @@ def repeats(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str =
     # different phrases of one trigger that agree on one side
     left, right = F.shiftright("sides", 32), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))
     sided = entries.select("first", F.explode(F.array(F.struct(F.xxhash64(F.lit(0), "trigger", left).alias("side"), F.lit(1).alias("which")), F.struct(F.xxhash64(F.lit(1), "trigger", right).alias("side"), F.lit(2).alias("which")))).alias("s")).select("first", "s.side", "s.which")
-    shared = sided.groupBy("side").agg(F.count("*").alias("n")).where("n > 1")
+    shared = sided.groupBy("side").agg(F.count("*").alias("n")).where("n > 1").repartition("side", "n")
     edges = sided.join(shared, "side").select("first.*", F.struct("at", "which", "side", (F.col("n") > hot).alias("hot")).alias("edge"))
     lists = scratch.table(edges.groupBy("k", "th").agg(F.collect_list("edge").alias("edges")), "edges")
     texts = source.select("k", "th", "text").join(few(lists.select("k", "th").distinct()), ["k", "th"], "left_semi").join(lists, ["k", "th"]).dropDuplicates(["k", "th"])
