@@ -119,3 +119,42 @@ class DiagonalGaussian:
 
     def sample(self, n: int, seed: int = 0) -> np.ndarray:
         return np.random.default_rng(seed).normal(self.mean, np.sqrt(self.variance), (n, len(self.names)))
+
+
+@persistable
+@dataclass
+class LinearAutoencoder:
+    """Given weights: codes are encoder x, outputs decoder code."""
+
+    names: list[str]
+    encoder: np.ndarray  # (codes, features)
+    decoder: np.ndarray  # (features, codes)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """With codes, output (arrays) and error, the mean squared difference from the input."""
+        x = [F.col(c).cast("double") for c in self.names]
+        mixed = lambda rows, values: F.array(*[sum((v * float(w) for w, v in zip(row, values, strict=True)), F.lit(0.0)) for row in rows])
+        out = df.withColumn("codes", mixed(self.encoder, x))
+        out = out.withColumn("output", mixed(self.decoder, [F.col("codes")[i] for i in range(len(self.encoder))]))
+        return out.withColumn("error", sum(((v - F.col("output")[i]) * (v - F.col("output")[i]) for i, v in enumerate(x)), F.lit(0.0)) / len(x))
+
+
+@persistable
+@dataclass
+class AdversarialGaussian:
+    """A generator z + mean against a logistic judge of one number, in alternating gradient steps."""
+
+    mean: float = -1.5
+    weight: float = 0.0
+    bias: float = 0.0
+
+    def judged(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.weight * x + self.bias)))
+
+    def step(self, real: np.ndarray, noise: np.ndarray, rate: float) -> None:
+        """The judge climbs log D(real) + log(1 - D(fake)), then the generator log D(fake)."""
+        fake = noise + self.mean
+        right, wrong = 1 - self.judged(real), self.judged(fake)
+        self.weight += rate * float((right * real).mean() - (wrong * fake).mean())
+        self.bias += rate * float(right.mean() - wrong.mean())
+        self.mean += rate * float(((1 - self.judged(fake)) * self.weight).mean())

@@ -361,6 +361,83 @@ def maximum_matching(text: str, dictionary: set[str], backward: bool = False) ->
     return out[::-1] if backward else out
 
 
+def bidirectional_matching(text: str, dictionary: set[str]) -> list[str]:
+    """Of the matches from the front and from the back, the one of fewer words, then of fewer single letters,
+    then the one from the back."""
+    both = [maximum_matching(text, dictionary, True), maximum_matching(text, dictionary)]
+    return min(both, key=lambda x: (len(x), sum(len(w) == 1 for w in x)))
+
+
+def character_type(character: str) -> str:
+    """digit, roman, hiragana, katakana, kanji, letter (of another script), space, punctuation or other."""
+    kind, name = unicodedata.category(character), unicodedata.name(character, "")
+    if kind == "Nd":
+        return "digit"
+    for start, found in (("LATIN", "roman"), ("FULLWIDTH LATIN", "roman"), ("HIRAGANA", "hiragana"), ("KATAKANA", "katakana"), ("HALFWIDTH KATAKANA", "katakana"), ("CJK UNIFIED", "kanji"), ("CJK COMPATIBILITY IDEOGRAPH", "kanji")):
+        if name.startswith(start):
+            return found
+    return {"L": "letter", "Z": "space", "P": "punctuation"}.get(kind[0], "space" if character.isspace() else "other")
+
+
+def token_count(word: str, pieces: set[str]) -> int | None:
+    """The fewest pieces that spell the word; None where none do."""
+    least: list[int | None] = [0] + [None] * len(word)
+    longest = max(map(len, pieces), default=0)
+    for j in range(1, len(word) + 1):
+        ways = [least[i] + 1 for i in range(max(0, j - longest), j) if least[i] is not None and word[i:j] in pieces]
+        least[j] = min(ways, default=None)
+    return least[-1]
+
+
+def corpus_token_count(words: dict[str, int], pieces: set[str]) -> int:
+    """Over all words by their counts; a word that can't be spelled counts a token a letter."""
+    return sum(n * (len(w) if (k := token_count(w, pieces)) is None else k) for w, n in words.items())
+
+
+def token_count_increases(words: dict[str, int], pieces: set[str]) -> dict[str, int]:
+    """By how much the corpus's tokens grow if one piece of several letters goes; only words that hold it count anew."""
+    own = {w: corpus_token_count({w: n}, pieces) for w, n in words.items()}
+    return {p: sum(corpus_token_count({w: n}, pieces - {p}) - own[w] for w, n in words.items() if p in w) for p in pieces if len(p) > 1}
+
+
+def learn_shortest_path_pieces(words: dict[str, int], size: int, longest: int = 8, least: int = 2, share: float = 0.2) -> set[str]:
+    """From all frequent substrings, those go whose loss costs the fewest tokens (ties: the greater piece first),
+    a ``share`` of what is too many at a time, until ``size`` are left; single letters always stay."""
+    seen: Counter = Counter()
+    for w, n in words.items():
+        for i in range(len(w)):
+            for j in range(i + 2, min(len(w), i + longest) + 1):
+                seen[w[i:j]] += n
+    letters = {c for w in words for c in w}
+    pieces = letters | {p for p, n in seen.items() if n >= least}
+    while len(pieces) > max(size, len(letters)):
+        cost = token_count_increases(words, pieces)
+        n = max(1, math.ceil((len(pieces) - max(size, len(letters))) * share))
+        order = sorted(cost, key=lambda p: (cost[p], [-ord(c) for c in p]))
+        pieces -= set(order[:n])
+    return pieces
+
+
+#: The sign that stands for a space (fixed value).
+MARKER = "▁"
+
+
+def marked_words(text: Column) -> Column:
+    """Raw text as words that begin with the marker, so that joining them gives the text with single spaces."""
+    return F.transform(F.filter(F.split(text, "\\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(MARKER), w))
+
+
+def unmarked(pieces: Sequence[str]) -> str:
+    return "".join(pieces).replace(MARKER, " ").removeprefix(" ")
+
+
+def sentence_pieces(df: DataFrame, key: str, text: str, n_merges: int, **options) -> DataFrame:
+    """(key, pieces): merges learned over marked words of raw text, and each text in them."""
+    rows = df.select(key, marked_words(F.col(text)).alias("words"))
+    model = learn(word_counts(rows, "words"), n_merges, mark="", **options)
+    return encode_words(rows, key, "words", model.pieces)
+
+
 def lattice(text: str, frequencies: dict[str, int]) -> list[str]:
     """The path of dictionary words with the greatest probability; unknown letters cost one count."""
     whole = math.log(sum(frequencies.values()))

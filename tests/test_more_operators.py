@@ -224,3 +224,73 @@ def test_bootstrap_draws_exactly_n(spark):
 
     out = selection.bootstrap(spark.range(500), "id", 3).collect()
     assert len(out) == 500 and sum(r["times"] for r in out) == 500 and 150 < sum(r["times"] == 0 for r in out) < 220
+
+
+def test_segmenters_and_shortest_paths():
+    words = {"ab", "abc", "cd", "d", "bcd"}
+    assert text.maximum_matching("abcd", words) == ["abc", "d"] and text.maximum_matching("abcd", words, True) == ["a", "bcd"]
+    assert text.bidirectional_matching("abcd", words) == ["a", "bcd"] and text.bidirectional_matching("abcd", {"abc", "cd"}) == ["abc", "d"]
+    assert [text.character_type(c) for c in "aЖ7 カひ漢.+"] == ["roman", "letter", "digit", "space", "katakana", "hiragana", "kanji", "punctuation", "other"]
+    assert text.token_count("abcd", {"a", "b", "c", "d", "ab", "bcd"}) == 2 and text.token_count("x", {"a"}) is None and text.token_count("", {"a"}) == 0
+    counts = {"abab": 3, "abc": 2}
+    pieces = {"a", "b", "c", "ab", "abab"}
+    assert text.corpus_token_count(counts, pieces) == 3 + 4
+    assert text.token_count_increases(counts, pieces) == {"ab": 2, "abab": 3}
+    learned = text.learn_shortest_path_pieces(counts, 4)
+    assert {"a", "b", "c"} < learned and len(learned) == 4 and learned & {"ab", "abab"}
+    assert text.unmarked(["▁ne", "w", "▁york"]) == "new york"
+
+
+def test_prediction_gradients():
+    """Against differences of the loss."""
+    draw = np.random.default_rng(0)
+    document, contexts, outputs, labels = draw.normal(size=4), draw.normal(size=(3, 4)), draw.normal(size=(5, 4)), np.array([1.0, 0, 0, 0, 0])
+
+    def loss(d, o):
+        p = 1 / (1 + np.exp(-(o @ ((d + contexts.sum(0)) / 4))))
+        return -np.log(np.where(labels > 0, p, 1 - p)).sum()
+
+    inner, outer, found = word_vectors.distributed_memory_gradients(document, contexts, outputs, labels)
+    assert abs(found - loss(document, outputs)) < 1e-9
+    for i in range(4):
+        e = np.eye(4)[i] * 1e-6
+        assert abs((loss(document + e, outputs) - loss(document - e, outputs)) / 2e-6 - inner[i] / 4) < 1e-6
+    change = np.zeros((5, 4))
+    change[2, 1] = 1e-6
+    assert abs((loss(document, outputs + change) - loss(document, outputs - change)) / 2e-6 - outer[2, 1]) < 1e-6
+    assert np.allclose(word_vectors.shared_input_step(inner, 0.1, 4), -0.1 * inner / 4)
+    h, _, value = word_vectors.hierarchical_softmax_gradients(document, outputs[:2], "01")
+    p = 1 / (1 + np.exp(-outputs[:2] @ document))
+    assert abs(value + np.log(p[0]) + np.log(1 - p[1])) < 1e-9 and np.allclose(h, (p - [1, 0]) @ outputs[:2])
+
+
+def test_contextual_vectors(spark):
+    draw = np.random.default_rng(1)
+    rows = [(i, [int(x) for x in draw.integers(0, 6, 14) + 6 * (i % 2)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, ids array<long>").coalesce(2)
+    counts = np.full(12, 100.0)
+    words, none = word_vectors.contextual(df, "id", counts, "cbow", 8, 3, rounds=8, rate=0.3)
+    unit = words / np.linalg.norm(words, axis=1)[:, None]
+    near = unit @ unit.T
+    assert near[:6, :6].mean() > near[:6, 6:].mean() + 0.3 and none.where("vector is not null").count() == 0
+    for architecture in ("distributed_memory", "distributed_bag_of_words"):
+        _, documents = word_vectors.contextual(df, "id", counts, architecture, 8, 3, rounds=8, rate=0.3)
+        found = {r["id"]: np.array(r["vector"]) for r in documents.collect()}
+        assert len(found) == 80
+        x = np.array([found[i] / np.linalg.norm(found[i]) for i in range(80)])
+        near = x @ x.T
+        assert near[::2, ::2].mean() > near[::2, 1::2].mean() + 0.2, architecture
+    grams = word_vectors.gram_vectors(["walk", "walks", "talk"], np.array([[1.0, 0], [0.9, 0.1], [0, 1.0]]))
+    assert word_vectors.unseen_vector("walked", grams)[0] > word_vectors.unseen_vector("tall", grams)[0]
+
+
+def test_generators(spark):
+    from corvane.operators import generative
+
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 6.0)], "a double, b double")
+    out = generative.LinearAutoencoder(["a", "b"], np.array([[0.2, 0.4]]), np.array([[1.0], [2.0]])).transform(df).collect()
+    assert [round(r["codes"][0], 9) for r in out] == [1.0, 3.0] and all(abs(r["error"]) < 1e-12 for r in out)
+    draw, g = np.random.default_rng(0), generative.AdversarialGaussian()
+    for _ in range(1500):
+        g.step(draw.normal(2.0, 1.0, 256), draw.normal(0, 1, 256), 0.05)
+    assert abs(g.mean - 2.0) < 1.0
