@@ -49,11 +49,23 @@ def word_counts(df: DataFrame, words: str) -> DataFrame:
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+#: Words that are numbered in one task.
+NUMBERED = 500_000
+
+
 def vocabulary(counts: DataFrame, least: int = 1, limit: int | None = None) -> DataFrame:
-    """(word, n, id): by count, then word. The numbering ranks distinct words, not rows."""
+    """(word, n, id): by count, then word. Distinct words are numbered by ranges, each in a task of its own."""
     kept = counts.where(F.col("n") >= least)
-    kept = kept.orderBy(F.desc("n"), "word").limit(limit) if limit else kept
-    return kept.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1)
+    kept = written(kept.orderBy(F.desc("n"), "word").limit(limit) if limit else kept, "vocabulary_words")
+    order = [F.desc("n"), F.col("word")]
+    parts = -(-kept.count() // NUMBERED)
+    if parts <= 1:
+        return kept.withColumn("id", F.row_number().over(Window.orderBy(*order)) - 1)
+    dealt = written(kept.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "vocabulary_ranges")
+    before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    offsets = dealt.groupBy("part").agg(F.count("*").alias("size")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("within", within).join(F.broadcast(offsets), "part").select(*kept.columns, (F.col("before") + F.col("within")).cast("int").alias("id"))
 
 
 def id_sequences(df: DataFrame, key: str, words: str, vocab: DataFrame) -> DataFrame:

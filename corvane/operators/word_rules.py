@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 Span = tuple[str, int, int]
 
 #: Treebank conventions (fixed values): contractions cut in two, and brackets' written forms.
-CONTRACTIONS = ("cannot", "gonna", "gotta", "lemme", "wanna", "gimme", "d'ye", "more'n", "'tis", "'twas")
 CUT_AT = {"cannot": 3, "gonna": 3, "gotta": 3, "lemme": 3, "wanna": 3, "gimme": 3, "d'ye": 1, "more'n": 4, "'tis": 2, "'twas": 2}
 BRACKETS = {"(": "-LRB-", ")": "-RRB-", "[": "-LSB-", "]": "-RSB-", "{": "-LCB-", "}": "-RCB-"}
 CLITIC = re.compile(r"(?i)(n't|'ll|'re|'ve|'s|'m|'d|')$")

@@ -294,3 +294,10 @@ def test_generators(spark):
     for _ in range(1500):
         g.step(draw.normal(2.0, 1.0, 256), draw.normal(0, 1, 256), 0.05)
     assert abs(g.mean - 2.0) < 1.0
+
+
+def test_vocabulary_by_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(f"w{i % 97}x{i}", i % 5 + 1) for i in range(400)], "word string, n long")
+    whole = {r["word"]: r["id"] for r in text.vocabulary(df, 2).collect()}
+    monkeypatch.setattr(text, "NUMBERED", 50)
+    assert {r["word"]: r["id"] for r in text.vocabulary(df, 2).collect()} == whole and sorted(whole.values()) == list(range(len(whole)))
