@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import vectors as V
 from corvane.operators import embeddings, evaluation, generative, grids, layers, linear, neighbours, schedules, selection, sequences, text
-from corvane.plans.catalog import _B, _FLAG, _G, _STEP, _TABLE, LINE, ORACLE, QUERIES, X, X2, _bench, _grid, _r2, _returned, _weights, lines, query, rounded, vectors
+from corvane.plans.catalog import _B, _CENTRES, _FLAG, _G, _STEP, _TABLE, LINE, ORACLE, QUERIES, X, X2, _bench, _grid, _r2, _returned, _weights, lines, query, rounded, vectors
 from corvane.scratch import written
 from corvane.sources.tables import table
 
@@ -212,6 +212,27 @@ QUERIES["principal_components"] = lambda spark, d, f=QUERIES["principal_componen
 ORACLE["project_components"] = f"WITH {_components_sql(2)}, s AS (SELECT " + ", ".join(f"avg({c}) AS m{j}, stddev_pop({c}) AS s{j}" for j, c in enumerate(LINE)) + " FROM lineitem), w AS (SELECT " + ", ".join(f"(SELECT loading FROM e{k} WHERE j = {j}) AS w{k}{j}" for k in range(2) for j in range(4)) + ") SELECT l_orderkey, l_linenumber, " + ", ".join("round(" + " + ".join(f"w{k}{j} * ({c} - m{j}) / s{j}" for j, c in enumerate(LINE)) + f", 4) + 0.0 AS pc{k + 1}" for k in range(2)) + " FROM lineitem, s, w"
 QUERIES["project_components"] = lambda spark, d, f=QUERIES["project_components"]: rounded(f(spark, d), 4)
 
+# --- a Gaussian mixture, by rounds of EM --------------------------------------------------------------
+
+
+def _mixture(rounds: int = 5, tolerance: float = 1e-3, smoothing: float = 1e-6) -> str:
+    """From the grouping by the given centres; a round that gains less than the tolerance is the last."""
+    d = [f"((x - {float(x)}) * (x - {float(x)}) + (y - {float(y)}) * (y - {float(y)}))" for x, y in _CENTRES]
+    start = " UNION ALL ".join(f"SELECT {i} AS c, {float(x)}::DOUBLE AS m1, {float(y)}::DOUBLE AS m2" for i, (x, y) in enumerate(_CENTRES))
+    out = f"""WITH r AS MATERIALIZED (SELECT row_number() OVER () AS rid, l_quantity AS x, l_discount AS y FROM lineitem), k AS (SELECT x, y, CASE WHEN {d[0]} <= {d[1]} AND {d[0]} <= {d[2]} THEN 0 WHEN {d[1]} <= {d[2]} THEN 1 ELSE 2 END AS c FROM r),
+p_0 AS MATERIALIZED (SELECT c, count(*) / (SELECT count(*) FROM r) AS w, any_value(m1) AS m1, any_value(m2) AS m2, var_pop(x) + {smoothing} AS s11, covar_pop(x, y) AS s12, var_pop(y) + {smoothing} AS s22, -1e300 AS ll, false AS done FROM k JOIN ({start}) USING (c) GROUP BY c)"""
+    for i in range(rounds):
+        out += f""",
+l_{i} AS (SELECT rid, x, y, c, ln(w) - ln(2 * pi()) - 0.5 * ln(s11 * s22 - s12 * s12) - 0.5 * ((x - m1) * (x - m1) * s22 - 2 * (x - m1) * (y - m2) * s12 + (y - m2) * (y - m2) * s11) / (s11 * s22 - s12 * s12) AS l FROM r, p_{i}),
+q_{i} AS (SELECT *, top + ln(sum(exp(l - top)) OVER (PARTITION BY rid)) AS z FROM (SELECT *, max(l) OVER (PARTITION BY rid) AS top FROM l_{i})),
+u_{i} AS MATERIALIZED (SELECT c, sum(g) AS n, sum(g * x) / sum(g) AS m1, sum(g * y) / sum(g) AS m2, sum(g * x * x) / sum(g) AS xx, sum(g * x * y) / sum(g) AS xy, sum(g * y * y) / sum(g) AS yy, avg(z) AS ll FROM (SELECT *, exp(l - z) AS g FROM q_{i}) GROUP BY c),
+p_{i + 1} AS MATERIALIZED (SELECT c, CASE WHEN done THEN p.w ELSE n / (SELECT sum(n) FROM u_{i}) END AS w, CASE WHEN done THEN p.m1 ELSE u.m1 END AS m1, CASE WHEN done THEN p.m2 ELSE u.m2 END AS m2, CASE WHEN done THEN s11 ELSE xx - u.m1 * u.m1 + {smoothing} END AS s11, CASE WHEN done THEN s12 ELSE xy - u.m1 * u.m2 END AS s12, CASE WHEN done THEN s22 ELSE yy - u.m2 * u.m2 + {smoothing} END AS s22, u.ll AS ll, done OR u.ll - p.ll < {tolerance} AS done FROM p_{i} p JOIN u_{i} u USING (c))"""
+    return f"{out} SELECT c AS component, round(w, 4) AS share, round(m1, 4) AS x, round(m2, 4) + 0.0 AS y FROM p_{rounds}"
+
+
+ORACLE["gaussian_mixture"] = _mixture()
+QUERIES["gaussian_mixture"] = lambda spark, d, f=QUERIES["gaussian_mixture"]: rounded(f(spark, d), 4)
+
 # --- robust regression, layers, merges ---------------------------------------------------------------
 
 
