@@ -28,8 +28,9 @@ def _chunks(text: str) -> Iterator[Span]:
         yield m[0], m.start(), m.end()
 
 
-def treebank(text: str, brackets: bool = False) -> list[Span]:
-    """Punctuation apart, clitics cut off, the last full stop of the text apart."""
+def treebank(text: str, brackets: bool = False, quotes: bool = True) -> list[Span]:
+    """Punctuation apart, clitics cut off, the last full stop of the text apart; double quotes are written as
+    `` where they open (at a word's start or after an opening bracket) and as '' where they close."""
     out: list[Span] = []
     chunks = list(_chunks(text))
     for k, (chunk, start, _) in enumerate(chunks):
@@ -58,6 +59,9 @@ def treebank(text: str, brackets: bool = False) -> list[Span]:
                     pieces[:1] = [("'", where), (head[1:], where + 1)]
             for w, p in pieces:
                 shown = BRACKETS.get(w, w) if brackets else w
+                if quotes and w in ('"', "“", "”"):
+                    opens = w == "“" or (w == '"' and (p == 0 or chunk[p - 1] in "([{<"))
+                    shown = "``" if opens else "''"
                 out.append((shown, start + p, start + p + len(w)))
     return out
 

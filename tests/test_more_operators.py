@@ -301,3 +301,11 @@ def test_vocabulary_by_ranges(spark, monkeypatch):
     whole = {r["word"]: r["id"] for r in text.vocabulary(df, 2).collect()}
     monkeypatch.setattr(text, "NUMBERED", 50)
     assert {r["word"]: r["id"] for r in text.vocabulary(df, 2).collect()} == whole and sorted(whole.values()) == list(range(len(whole)))
+
+
+def test_treebank_quotes():
+    from corvane.operators import word_rules
+
+    words = [w for w, _, _ in word_rules.treebank('He said "no ("never")". “Oui” he\'d')]
+    assert words == ["He", "said", "``", "no", "(", "``", "never", "''", ")", "''", ".", "``", "Oui", "''", "he", "'d"]
+    assert [w for w, _, _ in word_rules.treebank('"a"', quotes=False)] == ['"', "a", '"']
