@@ -92,7 +92,7 @@ def _tree(labels: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray]) -> tupl
     return order, Tree(np.stack([folded(maps[i], bits) for i in order]), sizes[order], labels[order])
 
 
-def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int, stars: int = 4, worth: float = 0.95, cell_members: int = 20_000, exact_members: int = 400, exact_bytes: int = 16 << 20) -> DataFrame:
+def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int, stars: int = 4, worth: float = 0.95, cell_members: int = 20_000, exact_members: int = 400, exact_bytes: int = 16 << 20, turns: int = 4) -> DataFrame:
     """Links (a, b). members: (key long, sid long); sets: (sid long, n long, hashes binary: ascending
     little-endian 64-bit values), both written tables."""
     links = None
@@ -146,9 +146,13 @@ def resolve(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den
         ends = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
-    maps = sets.join(few(open_members.select("sid").distinct()), "sid", "left_semi").select("sid", "n", "hashes").mapInArrow(to_bitmap, "sid long, size long, map binary")
-    cells = _cells(_once(open_members), F.ceil(F.col("n") / cell_members)).drop("n").join(maps, "sid")
-    left = scratch.table(cells.groupBy("key", "i", "j").applyInArrow(survivors, "key long, i int, j int, part long, sid long, label long"), "survivors")
+    maps = scratch.table(sets.join(few(open_members.select("sid").distinct()), "sid", "left_semi").select("sid", "n", "hashes").mapInArrow(to_bitmap, "sid long, size long, map binary"), "bitmaps")
+    once, left = scratch.table(_once(open_members), "once"), None
+    for turn in range(turns):  # a bitmap goes to every bucket of its set: a share of the buckets at a time
+        cells = _cells(once.where(F.pmod(F.xxhash64("key"), F.lit(turns)) == turn), F.ceil(F.col("n") / cell_members)).drop("n").join(maps, "sid")
+        found = scratch.table(cells.groupBy("key", "i", "j").applyInArrow(survivors, "key long, i int, j int, part long, sid long, label long"), f"survivors_{turn}")
+        left = found if left is None else left.union(found)
+    scratch.drop("bitmaps", "once")
     # sets that may be similar, directly or over others, are one family; each is in one, and goes there once
     families = components(left.select(F.col("part").alias("a"), F.col("sid").alias("b")), scratch, "families")
     named = left.select("sid", "label").distinct().join(families.select(F.col("id").alias("sid"), F.col("component").alias("key")), "sid")
