@@ -22,6 +22,8 @@ from corvane.scratch import written
 
 #: Bytes of a block of queries, and values of the largest array of a comparison.
 BLOCK_BYTES, VALUES = 16 << 20, 1 << 22
+#: Of ``kernel_values``: pairs of a task, and of a tile, whose arrays should stay in a core's cache.
+PAIRS, TILE = 4_000_000, 1 << 15
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -139,6 +141,88 @@ def within(queries: DataFrame, rows: DataFrame, radius: float, metric: str = "eu
     return _search(queries, rows, metric, (query_id, row_id, vector), radius=radius)
 
 
+#: (products, squared distances) -> values
+KERNELS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "linear": lambda k, g: k,
+    "polynomial": lambda k, g: (k + 1) ** 3,
+    "radial": lambda k, g: np.exp(-g),
+    "sigmoid": lambda k, g: np.tanh(k),
+}
+
+
+def _half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero, as SQL's round; what overflows stays, and -0.0 becomes 0.0."""
+    scaled = x * 10.0**digits
+    whole = np.trunc(scaled)
+    whole += np.copysign(np.abs(scaled - whole) >= 0.5, scaled)
+    out = whole / 10.0**digits
+    return np.where(np.isfinite(out), out, x) + 0.0
+
+
+def _known(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix of the lists that aren't null, and which these are."""
+    return _matrix(column.drop_null()), column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _tile(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products and squared distances of (dimension, queries) and (rows, dimension), summed in the order of dimensions."""
+    k, g, part = (np.zeros((len(r), q.shape[1])) for _ in range(3))
+    for i in range(len(q)):
+        np.multiply(r[:, i, None], q[None, i], out=part)
+        k += part
+        np.subtract(r[:, i, None], q[None, i], out=part)
+        part *= part
+        g += part
+    return k, g
+
+
+def kernel_values(queries: DataFrame, rows: DataFrame, query_id: str = "query_id", row_id: str = "row_id", vector: str = "vector", kinds: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = KERNELS, digits: int | None = None) -> DataFrame:
+    """(query_id, row_id, a column for each kernel) of every query and every row, rounded where they are made;
+    null where a vector is null or has a null. The rows are dealt out by their number alone, so that
+    each task has about ``PAIRS`` pairs however few files there are."""
+    kind = rows.schema[row_id].dataType
+    whole = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), F.col(c).cast("array<double>"))
+    q = queries.select(F.col(query_id).cast(kind).alias("query_id"), whole(vector).alias("_q"))
+    r = rows.select(F.col(row_id).alias("row_id"), whole(vector).alias("_r"))
+    n = r.count()
+    schema = f"query_id {kind.simpleString()}, row_id {kind.simpleString()}, " + ", ".join(f"{c} double" for c in kinds)
+
+    def valued(block: pa.Table) -> DataFrame:
+        matrix, there = _known(block.column("_q").combine_chunks())
+        shared = rows.sparkSession.sparkContext.broadcast((block.column("query_id").combine_chunks(), np.ascontiguousarray(matrix.T), there))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, points, there = shared.value
+            full = np.zeros((len(points), len(ids)))
+            full[:, there] = points
+            for batch in batches:
+                own, here = _known(batch.column("_r"))
+                if there.any() and here.any() and own.shape[1] != len(full):
+                    raise InvalidParameter("vectors of different lengths")
+                r = np.zeros((len(here), len(full)))
+                if there.any() and here.any():
+                    r[here] = own
+                wide = min(len(ids), TILE)
+                tall = max(1, TILE // wide)
+                for i in range(0, len(r), tall):
+                    for j in range(0, len(ids), wide):
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            k, g = _tile(full[:, j : j + wide], r[i : i + tall])
+                            values = [f(k, g) for f in kinds.values()]
+                            values = [v if digits is None else _half_up(v, digits) for v in values]
+                        lost = None if here.all() and there.all() else ~(here[i : i + tall, None] & there[None, j : j + wide]).ravel()
+                        a, b = np.tile(np.arange(j, j + k.shape[1]), len(k)), np.repeat(np.arange(i, i + len(k)), k.shape[1])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), batch.column("row_id").take(pa.array(b)), *[pa.array(v.ravel(), mask=lost) for v in values]], ["query_id", "row_id", *kinds])
+
+        return r.repartition(max(1, -(-n * block.num_rows // PAIRS))).mapInArrow(run, schema)
+
+    out = None
+    for block in _blocks(q):
+        part = valued(block)
+        out = part if out is None else out.unionByName(part)
+    return rows.sparkSession.createDataFrame([], schema) if out is None else out
+
+
 def regress(neighbours: DataFrame, rows: DataFrame, value: str, row_id: str = "row_id") -> DataFrame:
     """(query_id, prediction): the neighbours' mean value."""
     return neighbours.join(rows.select(F.col(row_id).alias("row_id"), F.col(value).alias("_v")), "row_id").groupBy("query_id").agg(F.avg("_v").alias("prediction"))
@@ -184,4 +268,4 @@ def similarity(pairs: DataFrame, rows: DataFrame, row_id: str = "row_id", vector
     return both.select("a", "b", F.when(length > 0, dot(F.col("_x"), F.col("_y")) / length).alias("similarity"))
 
 
-__all__ = ["analogy", "classify", "most_similar", "nearest", "regress", "similarity", "within"]
\ No newline at end of file
+__all__ = ["analogy", "classify", "kernel_values", "most_similar", "nearest", "regress", "similarity", "within"]
\ No newline at end of file

@@ -229,12 +229,8 @@ query("most_similar", f"WITH {_EMB}, p AS (SELECT q.vec_id AS query_id, r.vec_id
 
 @query("kernels", f"WITH {_EMB}, p AS (SELECT q.vec_id AS query_id, r.vec_id AS row_id, list_inner_product(q.v, r.v) AS k, list_distance(q.v, r.v) AS g FROM e q JOIN e r ON q.vec_id % 20 = 0) SELECT query_id, row_id, round(k, 6) + 0.0 AS linear, round(pow(k + 1, 3), 6) AS polynomial, round(exp(-g * g), 6) AS radial, round(tanh(k), 6) + 0.0 AS sigmoid FROM p")
 def _kernels(spark: SparkSession, d: str) -> DataFrame:
-    from corvane.scratch import few
-
-    rows = vectors(spark, d).select(F.col("vec_id").alias("row_id"), F.col("vector").alias("b"))
-    q = few(vectors(spark, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("a")))
-    a, b = F.col("a"), F.col("b")
-    return rounded(rows.join(q).select("query_id", "row_id", V.linear_kernel(a, b).alias("linear"), V.polynomial_kernel(a, b).alias("polynomial"), V.radial_kernel(a, b).alias("radial"), V.sigmoid_kernel(a, b).alias("sigmoid")))
+    rows = vectors(spark, d)
+    return neighbours.kernel_values(rows.where("vec_id % 20 = 0"), rows, "vec_id", "vec_id", digits=6)
 
 
 # --- trees -------------------------------------------------------------------------------------------

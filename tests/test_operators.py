@@ -127,6 +127,34 @@ def test_neighbours(spark):
     assert neighbours.classify(neighbours.nearest(q, rows, 5), rows, "label").first()["prediction"] == 0
 
 
+def test_kernel_values(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    held = [(i, [float(v) for v in draw.normal(size=3)]) for i in range(40)] + [(40, None), (41, [1.0, None, 2.0]), (42, [1 / 128, 0.0, 0.0]), (43, [1.0, 0.0, 0.0]), (44, [1e200, 0.0, 0.0])]
+    rows = spark.createDataFrame(held, "row_id long, vector array<double>")
+    pairs = rows.where("row_id % 5 = 0 OR row_id > 40").select(F.col("row_id").alias("query_id"), F.col("vector").alias("a")).crossJoin(rows)
+    a, b = F.col("a"), F.col("vector")
+    want = {(r[0], r[1]): r[2:] for r in pairs.select("query_id", "row_id", V.linear_kernel(a, b), V.polynomial_kernel(a, b), V.radial_kernel(a, b), V.sigmoid_kernel(a, b)).collect()}
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(neighbours, "PAIRS", 50)
+    queries = rows.where("row_id % 5 = 0 OR row_id > 40")
+    got = neighbours.kernel_values(queries, rows, "row_id", "row_id").collect()
+    assert len(got) == len(want) == 13 * 45 and {(r[0], r[1]) for r in got} == set(want)
+    for r in got:
+        assert all(x is y is None or math.isclose(x, y, rel_tol=1e-12, abs_tol=1e-300) for x, y in zip(r[2:], want[r[0], r[1]], strict=True))
+    near = {(r[0], r[1]): r for r in neighbours.kernel_values(queries, rows, "row_id", "row_id", digits=6).collect()}
+    assert near[42, 43]["linear"] == 0.007813 and near[43, 40]["linear"] is None and near[44, 44]["linear"] == math.inf and near[44, 43]["linear"] == 1e200
+    wide = spark.range(40_000).select(F.col("id").alias("row_id"), F.array(F.col("id") / 1000, F.lit(1.0)).alias("vector"))
+    monkeypatch.undo()
+    each = neighbours.kernel_values(wide, wide.where("row_id < 2"), "row_id", "row_id")  # more queries than a tile has pairs
+    assert each.count() == 80_000 and each.where("abs(linear - (query_id * row_id / 1e6 + 1)) < 1e-9").count() == 80_000
+
+
+def test_kernels_query_compares_by_blocks(spark):
+    """A nested loop over all pairs, with four sums over arrays for each, doesn't end in time."""
+    plan = catalog.QUERIES["kernels"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_trees(spark):
     df = spark.createDataFrame([(float(i), 10.0 if i < 4 else 50.0) for i in range(8)], "x double, y double")
     t = trees.grow(df, ["x"], "y", max_depth=1)
