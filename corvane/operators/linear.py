@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.errors import CollinearError, ConstantColumnError, DivergedError, EmptyInputError
+from corvane.errors import CollinearError, ConstantColumnError, DivergedError, EmptyInputError, NameMismatchError, UndefinedMetricError
 from corvane.functions.vectors import linear
 from corvane.sources.model_store import persistable
 
@@ -50,6 +50,20 @@ class Moments:
             out[0] = 0.0
         return out
 
+    def r2(self, model: LinearModel) -> float:
+        """Of a model on these rows, as what it explains over the total: 1 - rss / tss would keep sixteen digits
+        after the point, and the scores of near models often differ in later ones."""
+        if not self.intercept or model.names != self.names:
+            raise NameMismatchError("moments with an intercept, of the model's features, are needed")
+        n, w = self.xx[0, 0], np.array(model.weights)
+        x, y = self.xx[0, 1:] / n, self.xy[0] / n
+        total = self.yy - n * y * y
+        if not total > 1e-12 * self.yy:
+            raise UndefinedMetricError("r2 has a zero denominator")
+        off = y - model.intercept - w @ x
+        explained = 2 * w @ (self.xy[1:] - n * x * y) - w @ (self.xx[1:, 1:] - n * np.outer(x, x)) @ w - n * off * off
+        return float(explained / total)
+
 
 @persistable
 @dataclass

@@ -70,17 +70,24 @@ def candidates(**ranges: Sequence[Any]) -> list[dict[str, Any]]:
     return [dict(zip(ranges, values, strict=True)) for values in itertools.product(*ranges.values())]
 
 
+def _sides(folds: DataFrame, n_folds: int, of: Callable[[DataFrame], Any] = lambda df: df) -> list[tuple[Any, Any]]:
+    """(the other folds, the fold), as ``of`` has them, for each fold."""
+    return [(of(folds.where(F.col("fold") != i)), of(folds.where(F.col("fold") == i))) for i in range(n_folds)]
+
+
 def cross_validate(folds: DataFrame, n_folds: int, fit: Callable[[DataFrame], Any], score: Callable[[Any, DataFrame], float]) -> list[float]:
     """The score of each fold by a model fitted on the others; ``folds`` should be written or cached."""
-    return [score(fit(folds.where(F.col("fold") != i)), folds.where(F.col("fold") == i)) for i in range(n_folds)]
+    return [score(fit(train), test) for train, test in _sides(folds, n_folds)]
 
 
-def grid_search(folds: DataFrame, n_folds: int, space: list[dict[str, Any]], fit: Callable[..., Any], score: Callable[[Any, DataFrame], float]) -> list[tuple[float, dict[str, Any]]]:
-    """(mean score, candidate), best first; equal ones stay in the order of the space."""
-    found = []
-    for candidate in space:
-        scores = cross_validate(folds, n_folds, lambda df, c=candidate: fit(df, **c), score)
-        found.append((sum(scores) / len(scores), candidate))
+def grid_search(folds: DataFrame, n_folds: int, space: list[dict[str, Any]], fit: Callable[..., Any], score: Callable[[Any, Any], float], of: Callable[[DataFrame], Any] = lambda df: df) -> list[tuple[float, dict[str, Any]]]:
+    """(mean score, candidate), best first; equal ones stay in the order of the space.
+
+    ``of`` makes of rows what ``fit`` and ``score`` get, such as sums, once for all candidates: then it isn't
+    the rounding of one sum against another's that tells near candidates apart.
+    """
+    sides = _sides(folds, n_folds, of)
+    found = [(sum(score(fit(train, **c), test) for train, test in sides) / n_folds, c) for c in space]
     return sorted(found, key=lambda x: -x[0])
 
 

@@ -549,7 +549,7 @@ def _r2(model, df: DataFrame) -> float:
 
 
 query("cross_validation")(lambda spark, d: spark.createDataFrame([(i, s) for i, s in enumerate(selection.cross_validate(_priced(spark, d), 3, lambda r: linear.ordinary(linear.Moments.of(r, X, "y")), _r2))], "fold int, r2 double"))
-query("grid_search")(lambda spark, d: spark.createDataFrame([(i, float(c["penalty"]), s) for i, (s, c) in enumerate(selection.grid_search(_priced(spark, d), 3, selection.candidates(penalty=[0.0, 10.0, 1000.0]), lambda r, penalty: linear.ridge(linear.Moments.of(r, X, "y"), penalty), _r2))], "place int, penalty double, mean_r2 double"))
+query("grid_search")(lambda spark, d: spark.createDataFrame([(i, float(c["penalty"]), s) for i, (s, c) in enumerate(selection.grid_search(_priced(spark, d), 3, selection.candidates(penalty=[0.0, 10.0, 1000.0]), linear.ridge, lambda model, test: test.r2(model), lambda r: linear.Moments.of(r, X, "y")))], "place int, penalty double, mean_r2 double"))
 query("out_of_bag")(lambda spark, d: (lambda rows: trees.out_of_bag(trees.forest(rows, "key", T, "k", 2, n_classes=2, max_depth=1), rows, "key").groupBy("prediction").agg(F.count("*").alias("n")))(_tree_rows(spark, d)))
 query("permutation_importance")(lambda spark, d: (lambda rows, model: spark.createDataFrame(list(trees.permutation_importance(rows, "key", T, lambda r: _r2(model, r)).items()), "feature string, importance double"))(_tree_rows(spark, d), linear.ordinary(linear.Moments.of(_tree_rows(spark, d), T, "y"))))
 

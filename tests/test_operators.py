@@ -116,6 +116,28 @@ def test_grid_search(spark):
     assert found[0][1] == {"penalty": 0.0} and found[0][0] > 0.99
 
 
+def test_grid_search_tells_near_candidates_apart(spark):
+    """The folds' slopes are 1 and -1 under noise a thousand times larger, so each penalty beats the lesser one,
+    by 1e-17 of r2, which 1 - rss / tss can't show."""
+    noise = [1000.0, -1000.0, -1000.0, 1000.0]
+    folds = spark.createDataFrame([(f, float(x), e + x * (1 - 2 * f)) for f in range(2) for x, e in zip((-3, -1, 1, 3), noise, strict=True)], "fold int, x double, y double")
+    space = selection.candidates(penalty=[0.0, 1e-11, 2e-11])
+    found = selection.grid_search(folds, 2, space, linear.ridge, lambda model, test: test.r2(model), lambda d: linear.Moments.of(d, ["x"], "y"))
+    assert [c["penalty"] for _, c in found] == [2e-11, 1e-11, 0.0]
+    assert all(math.isclose(s, -60 / (4e6 + 20), rel_tol=1e-9) for s, _ in found)
+    model = linear.ridge(linear.Moments.of(folds, ["x"], "y"), 1.0)
+    assert math.isclose(linear.Moments.of(folds.where("fold = 0"), ["x"], "y").r2(model), evaluation.regression(model.predict(folds.where("fold = 0")), "y", "prediction").first()["r2"], abs_tol=1e-12)
+    with pytest.raises(UndefinedMetricError):
+        linear.Moments.of(folds.withColumn("y", F.lit(5.0)), ["x"], "y").r2(model)
+
+
+def test_grid_search_query_takes_sums_once(spark, monkeypatch):
+    taken, of = [], linear.Moments.of.__func__
+    monkeypatch.setattr(linear.Moments, "of", classmethod(lambda cls, *a, **b: (taken.append(1), of(cls, *a, **b))[1]))
+    catalog.QUERIES["grid_search"](spark, "/root/testdata/sf0.001")
+    assert len(taken) == 6  # both sides of three folds, whatever the number of candidates
+
+
 def test_neighbours(spark):
     grid = [(3 * i + j, [float(i), float(j)], 10.0 * (3 * i + j + 1), [0, 0, 1, 0, 1, 1, 2, 2, 2][3 * i + j]) for i in range(3) for j in range(3)]
     rows = spark.createDataFrame(grid, "row_id int, vector array<double>, value double, label int")
